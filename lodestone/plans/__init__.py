@@ -1 +1 @@
-
+"""Query plans and the corpus facade."""
