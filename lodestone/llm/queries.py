@@ -36,7 +36,8 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    kinds = [F.size(F.filter("_base", lambda b, i=i: b["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.PATTERNS)]
+    count = lambda i: F.size(F.filter("_base", lambda b: b["kind"] == i)).cast("long")
+    kinds = [count(i).alias(f"n_{k}") for i, k in enumerate(secrets.PATTERNS)]
     return found.select("doc_id", *kinds, F.sha2(secrets.written(F.col("_base")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
