@@ -3,7 +3,7 @@
 The terms of a document are its pairs of adjacent lower-case words (its one word, if it has but one). A term's weight is
 the number of its occurrences: each occurrence votes with the signed bits of the term's 64-bit hash, and a fingerprint
 bit is one where the vote is above zero. Votes are counted sixteen bits to a lane, four lanes to a long, in blocks of
-65,535 terms that are then added up, so a text of any length is counted whole.
+32,767 terms (so that no lane overflows) that are then added up, so a text of any length is counted whole.
 
 `within` finds all fingerprints in a radius r by permuted block tables: the 64 bits are cut into 2 r blocks; of r
 differing bits at least r blocks stay clean, so each choice of r blocks is one table whose key is those blocks brought
@@ -28,7 +28,7 @@ from .common import WORD
 
 #: Ids are first cut at quantiles, then evenly; ranges hold about so many bytes of text; no more ranges than that (this bounds what is broadcast: a few numbers a range).
 QUANTILES, RANGE_BYTES, RANGES, MOST_RANGES = 64, 8 << 20, 512, 1 << 16
-BLOCK, LANES = 65_535, 0x0001000100010001
+BLOCK, LANES, LANE = 32_767, 0x0001000100010001, 0xFFFF
 
 
 def term_hashes(words: Column) -> Column:
@@ -40,7 +40,7 @@ def term_hashes(words: Column) -> Column:
 def _votes(block: Column) -> Column:
     """64 counts of set bits: place 4 k + j is for bit k + 16 j."""
     sums = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.aggregate(block, F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftrightunsigned", x, k).bitwiseAND(F.lit(LANES))))
-    return F.flatten(F.transform(sums, lambda s: F.array(*(F.shiftrightunsigned(s, 16 * j).bitwiseAND(F.lit(BLOCK)) for j in range(4)))))
+    return F.flatten(F.transform(sums, lambda s: F.array(*(F.shiftrightunsigned(s, 16 * j).bitwiseAND(F.lit(LANE)) for j in range(4)))))
 
 
 def simhash(hashes: Column) -> Column:
@@ -70,11 +70,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
     fine = -(-min(max(RANGES, (seen["bytes"] or 0) // RANGE_BYTES), MOST_RANGES) // QUANTILES)
     ident, tie = F.col(id_col), F.xxhash64(text_col)
     if edges:
-        steps = F.array(*(F.lit(e).cast("long") for e in [*edges, seen["high"] + 1]))
+        steps = F.array(*(F.lit(e).cast("long") for e in [*edges, min(seen["high"] + 1, (1 << 63) - 1)]))
         cut = F.size(F.filter(steps, lambda e: e <= ident))
-        low, high = F.get(steps, cut - 1), F.get(steps, cut)
-        within = F.least(F.floor((ident - low) * F.lit(float(fine)) / (high - low)), F.lit(fine - 1))
-        at = F.when(ident.isNotNull(), cut * fine + within)
+        low, high = (F.coalesce(F.get(steps, i), ident).cast("double") for i in (cut - 1, cut))
+        share = F.when(high > low, (ident.cast("double") - low) / (high - low)).otherwise(0.0)
+        at = F.when(ident.isNotNull(), cut * fine + F.least(F.floor(share * fine), F.lit(fine - 1)))
     else:
         at = F.lit(None).cast("long")
     docs = docs.withColumn("_range", F.coalesce(at, -1 - F.pmod(tie, F.lit(RANGES))).cast("long")).withColumn("_tie", tie)
