@@ -35,7 +35,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 
 #: Two characters of white space side by side.
 LOOSE = "[\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
-AGREEMENTS = 400_000
+AGREEMENTS, REMEMBERED, SLICE = 200_000, 150_000, 4 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,9 +46,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class Codec:
-    """Encodes and decodes as the vocabulary's own library does."""
+    """Encodes and decodes as the vocabulary's own library does. Without `encoder` it only decodes, and is small."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encoder: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -60,6 +60,11 @@ class Codec:
         for piece, i in model["vocab"].items():
             self.bytes[i] = bytes(letters[c] for c in piece)
             ids[piece] = i
+        self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        for text, i in self.added.items():
+            self.bytes[i] = text.encode()
+        if not encoder:
+            return
         self.pairs: dict[tuple[int, int], int] = {}  # the rank at which a pair merges
         self.made = {}  # token: rank, left, right
         for rank, merge in enumerate(model["merges"]):
@@ -73,12 +78,9 @@ class Codec:
             if len(self.bytes[i]) == 1 or i in self.made and self.stands(i):
                 self.automaton.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
         self.automaton.make_automaton()
-        self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        for text, i in self.added.items():
-            self.bytes[i] = text.encode()
         self.set_apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cut = regex.compile(WORDS)
-        self.parts = Memory(self.word, 300_000)
+        self.parts = Memory(self.word, REMEMBERED)
 
     def stands(self, token: int) -> bool:
         """Whether merging the token's own bytes gives the token."""
@@ -168,14 +170,14 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, bool], Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """One for each Python worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def codec(path: str, encoder: bool = True) -> Codec:
+    """One for each Python worker and direction."""
+    if (path, encoder) not in _codecs:
+        _codecs[path, encoder] = Codec(path, encoder)
+    return _codecs[path, encoder]
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -184,7 +186,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            ids = list(map(c.encode_all, slices(pc.fill_null(b.column(b.num_columns - 1), ""))))
+            ids = list(map(c.encode_all, slices(pc.fill_null(b.column(b.num_columns - 1), ""), SLICE)))
             if ids:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.concat_arrays(ids)], names=[*b.schema.names[:-1], "ids"])
 
@@ -197,7 +199,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """`tokens` (with ids as `encoded` gives them) with the column decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, encoder=False)
         for b in batches:
             texts = [c.decode(x.as_py() or b"") for x in b.column(b.schema.get_field_index("ids"))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
