@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 
 
 class Memory(dict):
@@ -49,7 +49,7 @@ class Memory(dict):
         return value
 
 
-def slices(texts: pa.Array, size: int = 12 << 20) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
     """Consecutive parts of about `size` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
