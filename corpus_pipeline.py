@@ -43,8 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-    tokens = bpe_codec.decoded(bpe_codec.encoded(docs, path, keep=("source", "n_chars")), path)
+    tokens = bpe_codec.round_trip(docs, tokenizer_path("byte_bpe_50k.json"), keep=("source", "n_chars"))
     return tokens.select("doc_id", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", (F.char_length("decoded") == F.coalesce("n_chars", F.lit(0))).alias("whole"))
 
 

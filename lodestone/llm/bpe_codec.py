@@ -206,3 +206,24 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     return tokens.mapInArrow(run, f"{schema}, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, `keep`, ids, decoded) of every row: the ids as `encoded` gives them and what they decode to.
+
+    One worker does both, slice by slice, so that a core needs one Python process and ids don't pass through the JVM.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            at = 0
+            for part in slices(pc.fill_null(b.column(b.num_columns - 1), ""), SLICE):
+                ids = c.encode_all(part)
+                texts = pa.array([c.decode(x.as_py()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*(x.slice(at, len(part)) for x in b.columns[:-1]), ids, texts], names=[*b.schema.names[:-1], "ids", "decoded"])
+                at += len(part)
+
+    own = docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).cast("string").alias("_t"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    return own.mapInArrow(run, f"{schema}, ids binary, decoded string")

@@ -63,8 +63,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-    back = bpe_codec.decoded(bpe_codec.encoded(table(spark, sf_dir, "documents"), path), path)
+    back = bpe_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return back.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

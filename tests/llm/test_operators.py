@@ -238,6 +238,9 @@ def test_bpe_round_trip(docs, none):
     back = bpe_codec.decoded(bpe_codec.encoded(docs, path, keep=("lang",)), path).collect()
     assert sorted((r["doc_id"] or 0, r["decoded"]) for r in back) == sorted((r[0] or 0, r[1] or "") for r in ROWS)
     assert bpe_codec.encoded(none, path).count() == 0
+    once = bpe_codec.round_trip(docs, path, keep=("lang",)).collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, back))
+    assert bpe_codec.round_trip(none, path).count() == 0
 
 
 def test_mixing(spark, docs, none):
