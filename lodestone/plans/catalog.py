@@ -297,7 +297,8 @@ scored AS (SELECT {key}, -({score}) AS score FROM fr, st WHERE {met})"""
 
 
 WORK_SQL = "wk AS (SELECT paper_id, arg_min(title, doc_id) AS title, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM art GROUP BY paper_id)"
-TOP = f"SELECT paper_id, round(score, 6) AS score FROM scored WHERE paper_id IN (SELECT paper_id FROM art WHERE role IN {SEARCHED})"
+#: A tiny score is rounded to zero without sign, as Spark does.
+TOP = f"SELECT paper_id, round(score, 6) + 0.0 AS score FROM scored WHERE paper_id IN (SELECT paper_id FROM art WHERE role IN {SEARCHED})"
 
 
 def work_search(spark: SparkSession, sf_dir: str, node) -> DataFrame:
@@ -339,7 +340,7 @@ def term_statistics(spark, sf_dir):
 
 
 CHUNKS_SQL = PACKED_SQL.replace("WITH RECURSIVE ", "") + PACKED_END + ", ck AS (SELECT c.*, 'work:' || (c.doc_id - c.doc_id % 2) AS paper_id, 'loc:' || substr(sha256(a.artifact_id || '|' || a.content_hash || '|' || c.char_start || '|' || c.char_end || '|' || c.text), 1, 32) AS id, a.role FROM chunk c JOIN art a USING (doc_id))"
-BEST_SQL = f"{CHUNKS_SQL}, {bm25_sql('ck', 'id', {'text': 1.0}, [['that'], ['was']], 'any')}, s2 AS (SELECT DISTINCT ck.paper_id, id, round(score, 6) AS score FROM scored JOIN ck USING (id) WHERE role IN {SEARCHED})"
+BEST_SQL = f"{CHUNKS_SQL}, {bm25_sql('ck', 'id', {'text': 1.0}, [['that'], ['was']], 'any')}, s2 AS (SELECT DISTINCT ck.paper_id, id, round(score, 6) + 0.0 AS score FROM scored JOIN ck USING (id) WHERE role IN {SEARCHED})"
 
 
 def scored_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
