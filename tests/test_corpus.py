@@ -75,3 +75,20 @@ def test_corpus_from_build_to_audit(spark, tmp_path):
     with pytest.raises(RuntimeError):
         corpus.update()
     assert corpus.version == before and corpus.export_manifest().count() == 3
+
+
+def test_manifest_and_profile_decide(spark, tmp_path):
+    root, place = tmp_path / "papers", str(tmp_path / "corpus")
+    root.mkdir()
+    (root / "AB one.md").write_text(paper("Noted", "10.1000/noted", FISH))
+    (root / "CD two.md").write_text("# Loose\n" + BIRD * 2)
+    listed, ruled = tmp_path / "m.json", tmp_path / "p.json"
+    listed.write_text(json.dumps([{"path": "AB one.md", "paper_id": "mine", "title": "Stated", "doi": "10.1000/stated"}]))
+    ruled.write_text(json.dumps({"profile_version": 1, "roots": {str(root): {"AB": {"role": "CORRECTION", "version": "PUBLISHED", "basis": "USER_CONFIRMED"}, "CD": {"role": "OTHER", "basis": "GUESSED"}}}}))
+    corpus = Corpus(spark, place)
+    corpus.build({str(root): "PAPER"}, str(listed), str(ruled))
+    a = {r["source_rel"]: r for r in corpus.table("artifacts").collect()}
+    one, two = a["AB one.md"], a["CD two.md"]
+    assert (one["paper_id"], one["title"], one["role"], one["artifact_version"], one["metadata_provenance"]["year"]) == ("doi:10.1000/stated", "Stated", "CORRECTION", "PUBLISHED", "front_matter")
+    assert (two["artifact_kind"], two["role"], two["paper_id"][:10]) == ("COMPANION", "MAIN_ARTICLE", "companion:")
+    assert [(r["code"], r["n"]) for r in corpus.profile_audit().collect()] == [("CD", 1)]
