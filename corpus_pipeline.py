@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: five stages, each written as Parquet and read again by the next.
 
 1. quality classifier: rows scored under 0.3 go.
-2. SimHash near-dedup: of each class of linked fingerprints the document with the smallest id stays.
+2. SimHash near-dedup: of each class of linked documents the one with the smallest id stays. Links are fingerprints three
+   bits apart or fewer, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 3. secret scans: each span found is masked; n_chars follows.
 4. mixing: each document is taken as often as systematic sampling towards its source's target says.
 5. BPE: the ids of each text, and whether they decode to it.
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, mixing, quality, secrets, simhash_dedup
+from lodestone.llm import bpe_codec, mixing, near_copies, quality, secrets
 from lodestone.llm.common import table
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.warc import archive_place
@@ -31,7 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_dedup(docs).select(COLUMNS)
+    return near_copies.drop_near_copies(docs).select(COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
