@@ -572,8 +572,10 @@ def manifest_export(spark, sf_dir):
 
 
 def companion_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = artifacts(spark, sf_dir).select("doc_id", "artifact_id", "paper_id", F.col("source").alias("directory"), F.concat(F.lit("file "), "doc_id").alias("stem"), "title")
-    return a.filter("doc_id % 2 = 1").drop("paper_id"), a.filter("doc_id % 2 = 1").select("paper_id", "directory", "stem", "title")
+    """All appendix files against all other artifacts but process files."""
+    a, appendix = artifacts(spark, sf_dir), F.col("artifact_kind") == "APPENDIX_FILE"
+    named = [F.col("source").alias("directory"), F.concat(F.lit("file "), "doc_id").alias("stem"), "title"]
+    return a.filter(appendix).select("artifact_id", *named), a.filter(~appendix & (F.col("root_role") != "PROCESS")).select("paper_id", *named)
 
 
 @query()
