@@ -33,8 +33,9 @@ from .token_counts import Memory, slices, split_words
 #: The byte-level pre-tokenizer's pattern, with its white space spelled out. Fixed by the file format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Two characters of white space side by side.
-LOOSE = "[\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
+#: Two characters of white space side by side, or one that is the whole text.
+SPACES = "[\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LOOSE = rf"{SPACES}{{2}}|\A{SPACES}\z"
 AGREEMENTS, REMEMBERED, SLICE = 200_000, 150_000, 4 << 20
 
 
@@ -209,7 +210,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, `keep`, ids, decoded) of every row: the ids as `encoded` gives them and what they decode to.
+    """(id, `keep`, ids, decoded, whole) of every row: the ids as `encoded` gives them, what they decode to, and whether that is the text.
 
     One worker does both, slice by slice, so that a core needs one Python process and ids don't pass through the JVM.
     """
@@ -221,9 +222,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for part in slices(pc.fill_null(b.column(b.num_columns - 1), ""), SLICE):
                 ids = c.encode_all(part)
                 texts = pa.array([c.decode(x.as_py()) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*(x.slice(at, len(part)) for x in b.columns[:-1]), ids, texts], names=[*b.schema.names[:-1], "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(x.slice(at, len(part)) for x in b.columns[:-1]), ids, texts, pc.equal(texts, part)], names=[*b.schema.names[:-1], "ids", "decoded", "whole"])
                 at += len(part)
 
     own = docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).cast("string").alias("_t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{schema}, ids binary, decoded string")
+    return own.mapInArrow(run, f"{schema}, ids binary, decoded string, whole boolean")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, spread
+from .common import first_of_classes, pieces, settle, spread, text_hash
 from .simhash_dedup import SEED, components, fingerprints_of, links, shingles
 
 #: LEAST is a fraction, so that similarities compare in whole numbers.
@@ -88,7 +88,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints_of(texts).view(np.int64)), keys], names=["id", "t", "fp", "keys"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.cast("binary").alias("x")).mapInArrow(run, "id long, t long, fp long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text).alias("t"), text.cast("binary").alias("x")).mapInArrow(run, "id long, t long, fp long, keys array<long>")
 
 
 class Index:
@@ -155,14 +155,14 @@ def near_links(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
         return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
     text = F.col(text_col).cast("string")
-    wanted = docs.select(F.xxhash64(text).alias("t"), text.cast("binary").alias("x")).join(met.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
+    wanted = docs.select(text_hash(text).alias("t"), text.cast("binary").alias("x")).join(met.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
     groups = pieces(met.count(), GROUP_ROWS)
     laden = met.join(wanted.mapInArrow(as_set, "t long, s binary"), "t").withColumn("g", spread(groups, F.col("key")))
     return laden.groupBy("g").applyInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): every row with the smallest id that links reach from it."""
+    """(id, t, component): every row with its text's hash and the smallest id that links reach from it."""
     rows = settle(described(docs, id_col, text_col))
     prints = settle(rows.groupBy("fp").agg(F.min("t").alias("first")))
     same = rows.select("fp", "t").distinct().join(prints, "fp").filter("t <> first").select(F.col("first").alias("a"), F.col("t").alias("b"))
@@ -172,14 +172,9 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.groupBy("t").agg(F.min("id").alias("least"))
     rooted = texts.join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "least", F.coalesce("root", "t").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("t", "component")
-    return rows.select("id", "t").join(named, "t").select("id", "component")
+    return rows.select("id", "t").join(named, "t").select("id", "t", "component")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each component the one row with the smallest id (of repeated rows, one).
-
-    Rows with a null id stay: nothing tells them from one another.
-    """
-    keep = near_copy_classes(docs, id_col, text_col).filter("id = component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    """The rows of `docs` that stay, one of each component (see `first_of_classes`)."""
+    return first_of_classes(docs, near_copy_classes(docs, id_col, text_col), id_col, text_col)

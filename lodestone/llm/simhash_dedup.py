@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import first_of_classes, settle, text_hash
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -76,14 +76,15 @@ def fingerprints_of(texts: list[bytes | None], size: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp long) of every row; the long holds the 64 bits."""
+    """(id, t, fp) of every row: fp is a long that holds the 64 bits, t the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints_of(b.column(1).to_pylist(), size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
+            fp = fingerprints_of(b.column(2).to_pylist(), size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["id", "t", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("t"), F.col(text_col).cast("string").cast("binary").alias("x"))
+    return own.mapInArrow(run, "id long, t long, fp long")
 
 
 def links(classes: DataFrame, radius: int = 3) -> DataFrame:
@@ -118,20 +119,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
-    """(id, fp long, component): every row with its fingerprint and the smallest id that links reach from it."""
+    """(id, t, fp, component): every row with its text's hash, its fingerprint and the smallest id that links reach from it."""
     fps = settle(fingerprints(docs, id_col, text_col, size))
     classes = settle(fps.groupBy("fp").agg(F.min("id").alias("rep")))
     roots = components(links(classes.select("fp"), radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
-    return fps.join(named, "fp").select("id", "fp", "component")
+    return fps.join(named, "fp").select("id", "t", "fp", "component")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each component the one row with the smallest id (of repeated rows, one).
-
-    Rows with a null id stay: nothing tells them from one another.
-    """
-    keep = simhash_classes(docs, id_col, text_col).filter("id = component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    """The rows of `docs` that stay, one of each component (see `first_of_classes`)."""
+    return first_of_classes(docs, simhash_classes(docs, id_col, text_col), id_col, text_col)

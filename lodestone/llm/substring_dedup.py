@@ -10,6 +10,9 @@ Documents are dealt by a hash of their id into groups of some megabytes. A group
 neighbours of the same hash range into one binary row, so what one very common passage costs grows with the number of
 groups, not of documents. Windows are judged on the input, not on what is left.
 
+Groups and hash ranges grow with the square root of the input, from 4 to 64 MB, so that a packet holds many keys. Keys have
+64 bits, of which 40 are sent; that bounds the input at some 10**15 bytes, beyond which the operator refuses.
+
 Defined cases: a null or empty text has no words; a text shorter than a window loses nothing; equal windows within one
 document, or in rows of the same id, do not remove each other; a row with a null id keeps all its words and removes none.
 """
@@ -28,7 +31,7 @@ from .common import pieces, spread, text_bytes
 
 #: A perfect difference set: its differences are all residues modulo seven.
 PERIOD, COVER = 7, (0, 1, 3)
-GROUP_BYTES, BUCKET_BYTES, KEY_BITS = 4 << 20, 4 << 20, 40
+LEAST_BYTES, MOST_BYTES, KEY_BITS = 4 << 20, 64 << 20, 40
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -223,8 +226,11 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
     size = text_bytes(docs, text_col)
-    groups = pieces(size, GROUP_BYTES)
-    bits = (pieces(size * 2 // 5, BUCKET_BYTES) - 1).bit_length()
+    each = min(MOST_BYTES, max(LEAST_BYTES, int((570 * size) ** 0.5)))  # a hundred keys a packet as long as that allows
+    groups = pieces(size, each)
+    bits = (pieces(size * 2 // 5, each) - 1).bit_length()
+    if bits + KEY_BITS > 64:
+        raise ValueError(f"{size} bytes need {bits + KEY_BITS} bits of a 64-bit hash")
     ident = F.col(id_col).cast("long")
     own = docs.select(ident.alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"), spread(groups, F.coalesce(ident, F.xxhash64(text_col))).alias("grp"))
     sent = own.groupBy("grp").applyInArrow(send_anchors(bits, window), "bucket int, grp int, keys binary, many binary")

@@ -103,8 +103,10 @@ class Counter:
         chars, ranks, made = self.chars, self.ranks, self.made
         symbols = [chars.get(c, -1) for c in part]
         n = count = len(symbols)
+        shift = n.bit_length()  # a heap entry is one number: the rank, then the place
+        places = (1 << shift) - 1
         at = [ranks.get((a << 20) | b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]  # the rank of the pair that begins here
-        heap = [(r << 24) | i for i, r in enumerate(at) if r >= 0]
+        heap = [(r << shift) | i for i, r in enumerate(at) if r >= 0]
         if heap:
             heapq.heapify(heap)
             at.append(-1)
@@ -112,7 +114,7 @@ class Counter:
             push, pop = heapq.heappush, heapq.heappop
             while heap:
                 e = pop(heap)
-                i, r = e & 0xFFFFFF, e >> 24
+                i, r = e & places, e >> shift
                 if at[i] != r:
                     continue  # one of the two is merged already
                 symbol = symbols[i] = made[r]
@@ -125,11 +127,11 @@ class Counter:
                     before[k] = i
                     if (r := ranks.get((symbol << 20) | symbols[k], -1)) >= 0:
                         at[i] = r
-                        push(heap, (r << 24) | i)
+                        push(heap, (r << shift) | i)
                 if (h := before[i]) >= 0:
                     r = at[h] = ranks.get((symbols[h] << 20) | symbol, -1)
                     if r >= 0:
-                        push(heap, (r << 24) | h)
+                        push(heap, (r << shift) | h)
         if -1 in symbols:
             count += sum(len(c.encode()) - 1 for c, s in zip(part, symbols, strict=True) if s == -1)
         return count
