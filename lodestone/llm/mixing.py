@@ -13,7 +13,8 @@ class, hash of the id), strata are counted and numbered in this order, and docum
 by size class keeps the taken words close to the target. The offset and the hash are taken from MD5, so reruns agree.
 
 Defined cases: a null or empty text has size 0 and may be taken at no cost; a null source is a source, the last; rows of
-one id are documents of their own; a source without words has target 0; ties in size go by the id's hash.
+one id are documents of their own; a source without words has target 0; ties in size go by the id's hash; the caller's
+columns travel in one struct, so that none clashes.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ SALTS, STRATUM_ROWS = 32, 1_000_000
 KEYS = ["_source", "_class", "_salt"]
 
 
-def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the column size, the number of words of the text."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+def sized(docs: DataFrame, carry: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc, id, source, size): the columns `carry` of `docs` (all, if None) as one struct, and the number of words of the text."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.struct(*(carry or docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
 
 
 def _md5_number(value: Column, digits: int) -> Column:
@@ -49,13 +51,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     return s.withColumn("target", F.least("_limit", F.max("_level").over(whole) * F.col("_w"))).drop("_n", "_w", "_limit", "_level")
 
 
-def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """`rows` (with size, see `sized`) and the columns source_size, target and copies."""
+def mix(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(doc, id, source, size, source_size, target, copies) of `rows` (see `sized`)."""
     cols = rows.columns
-    rows = rows.withColumn("_source", F.col(source_col))
+    rows = rows.withColumn("_source", F.col("source"))
     salts = max(SALTS, -(-rows.count() // STRATUM_ROWS))
     low = F.greatest(F.length(F.bin("size")) - 3, F.lit(0))  # a size class: sizes with the same three leading bits
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     rows = rows.withColumn("_class", F.call_function("shiftleft", F.call_function("shiftright", F.col("size"), low), low)).withColumn("_hash", F.md5(key.cast("binary")))
     rows = rows.withColumn("_salt", (_md5_number(key, 8) % salts).cast("int"))
     strata = settle(rows.groupBy(*KEYS).agg(F.count("*").alias("_rows"), F.sum("size").alias("_words")))
@@ -75,5 +77,5 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    rows = mix(sized(docs, text_col), id_col, source_col).filter("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    rows = mix(sized(docs, None, id_col, text_col, source_col)).filter("copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

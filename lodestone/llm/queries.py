@@ -58,8 +58,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = settle(mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"))
-    return mixing.mix(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = settle(mixing.sized(table(spark, sf_dir, "documents"), ("doc_id",)))
+    return mixing.mix(rows).select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

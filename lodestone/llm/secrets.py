@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests, in DataFrame operations only.
 
 Three kinds of spans come from patterns: assign, access and hex (`PATTERNS`). The battery adds spans of the kind random:
-runs of 16 or more characters that a key encoding can produce. The encoding is inferred from the characters (`ENCODINGS`;
-letters alone infer none, words would pass). Each run is read as numbers of its alphabet and tested three ways: chi-squared
+runs of 16 or more characters that a key encoding can produce; where a run fits no encoding as a whole, its parts between
+separators are runs of their own (`PART`). The encoding is inferred from the characters (`ENCODINGS`; letters alone infer
+none, words would pass). Each run is read as numbers of its alphabet and tested three ways: chi-squared
 uniformity over the alphabet, the number of runs below and above the middle, and the correlation of neighbours. Moments
 are the exact ones for the run's length, so short runs are judged by what their length can show. The three p-values are
 combined by Fisher's rule. A key is a run that does not fail: p is uniform for keys and near zero for the rest. How low a
@@ -12,7 +13,7 @@ explain (a false-discovery control). Only the table of counts by stratum and hun
 
 Positions count code points, ends are exclusive. Defined cases: a null text is an empty text; patterns of one kind do not
 overlap; a random span that meets a pattern's span is not added; ties in start go by the order of kinds; repeated rows
-each get their spans.
+and rows with a null id each get their spans; the caller's columns travel in one struct, so that none clashes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ PATTERNS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+CANDIDATE, PART, LEAST = r"[A-Za-z0-9+/_-]{16,}", r"[A-Za-z0-9]+", 16
+#: Matches are placed in blocks of so many, so that no long array is copied for each.
+FOLD = 512
 LOW, UP, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: encoding: what the run must look like, its alphabet. The first that fits is taken.
 ENCODINGS = {
@@ -49,15 +52,21 @@ def found(text: Column, pattern: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<at:long,end:long,body:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out"))
+    first = F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         at = acc["pos"] + F.char_length(pair["gap"])
         end = at + F.char_length(pair["hit"])
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(at.alias("at"), end.alias("end"), pair["hit"].alias("body")))).alias("out"))
 
+    def block(acc: Column, part: Column) -> Column:
+        placed = F.aggregate(part, F.struct(acc["last"]["pos"].alias("pos"), none.alias("out")), step)
+        return F.struct(placed.alias("last"), F.concat(acc["all"], F.array(acc["last"]["out"])).alias("all"))
+
     pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / FOLD).cast("int")), lambda q: F.slice(pairs, q * FOLD + 1, FOLD))
+    start = F.struct(first.alias("last"), F.array().cast("array<array<struct<at:long,end:long,body:string>>>").alias("all"))
+    return F.when(text.rlike(pattern), F.aggregate(parts, start, block, lambda acc: F.flatten(F.concat(acc["all"], F.array(acc["last"]["out"]))))).otherwise(none)
 
 
 def _kept(spans: Column, kind: str) -> Column:
@@ -118,18 +127,24 @@ def judged(runs: Column) -> Column:
     def combined(r: Column) -> Column:
         return F.struct(*(r[c].alias(c) for c in ("at", "end", "stratum")), (F.exp(-r["y"]) * (1 + r["y"] + r["y"] * r["y"] / 2)).alias("p"))
 
-    out = F.filter(F.transform(runs, inferred), lambda r: r["encoding"].isNotNull())
+    def opened(r: Column) -> Column:
+        inner = F.filter(found(r["body"], PART), lambda p: F.char_length(p["body"]) >= LEAST)
+        apart = F.transform(inner, lambda p: inferred(F.struct((r["at"] + p["at"]).alias("at"), (r["at"] + p["end"]).alias("end"), p["body"].alias("body"))))
+        return F.when(r["encoding"].isNotNull() | ~r["body"].rlike("[^A-Za-z0-9]"), F.array(r)).otherwise(apart)
+
+    out = F.filter(F.flatten(F.transform(F.transform(runs, inferred), opened)), lambda r: r["encoding"].isNotNull())
     for f in (coded, summed, scored, tailed, combined):
         out = F.transform(out, f)
     return out
 
 
-def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with _base (array<struct<at, kind, end>>) and _tested (array<struct<at, end, stratum, p>>)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def with_candidates(docs: DataFrame, carry: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
+    """The columns `carry` of `docs` (all, if None) as the struct doc, _base (array<struct<at, kind, end>>) and _tested (array<struct<at, end, stratum, p>>)."""
+    docs = docs.select(F.struct(*(carry or docs.columns)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    text = F.col("_text")
     docs = docs.withColumns({f"_{k}": found(text, v[0]) for k, v in PATTERNS.items()}).withColumn("_runs", found(text, CANDIDATE))
     base = F.array_sort(F.concat(*(_kept(F.col(f"_{k}"), k) for k in PATTERNS)))
-    return docs.withColumn("_base", base).withColumn("_tested", judged(F.col("_runs"))).drop("_runs", *(f"_{k}" for k in PATTERNS))
+    return docs.withColumn("_base", base).withColumn("_tested", judged(F.col("_runs"))).drop("_runs", "_text", *(f"_{k}" for k in PATTERNS))
 
 
 def thresholds(tested: DataFrame) -> dict[int, float]:
@@ -171,15 +186,15 @@ def written(spans: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, _base, spans) of every row."""
-    tested = settle(with_candidates(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col))
-    return with_spans(tested, thresholds(tested))
+    tested = settle(with_candidates(docs, (id_col,), text_col))
+    return with_spans(tested, thresholds(tested)).select(F.col(f"doc.{id_col}").alias(id_col), "_base", "spans")
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """`docs` with each span (overlapping ones as one) of the text replaced by `mask`; a null text stays null."""
-    tested = with_candidates(docs, text_col)
-    spanned = with_spans(tested, thresholds(tested)).drop("_base")
-    text = F.col(text_col)
+    tested = settle(with_candidates(docs, None, text_col))
+    spanned = with_spans(tested, thresholds(tested))
+    text = F.col(f"doc.{text_col}").cast("string")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substr(text, (acc["pos"] + 1).cast("int"), F.greatest(s["at"] - acc["pos"], F.lit(0)).cast("int"))
@@ -189,4 +204,4 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") ->
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substr(text, (acc["pos"] + 1).cast("int"), F.char_length(text)))
     masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(text)
-    return spanned.withColumn(text_col, masked).drop("spans").select(docs.columns)
+    return spanned.select(*((masked if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
