@@ -7,7 +7,8 @@
 4. mixing: each document is taken as often as systematic sampling towards its source's target says.
 5. BPE: the ids of each text, and whether they decode to it.
 
-Defined cases are those of the operators; every stage takes empty input and keeps null ids, sources and texts.
+Defined cases are those of the operators; every stage takes empty input and keeps null ids, sources and texts. Columns of
+`documents` beyond these five go in the first stage. Of rows that repeat an id and text, near-dedup keeps one.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokens = bpe_codec.round_trip(docs, tokenizer_path("byte_bpe_50k.json"), keep=("source", "n_chars"))
-    return tokens.select("doc_id", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", (F.char_length("decoded") == F.coalesce("n_chars", F.lit(0))).alias("whole"))
+    return tokens.select("doc_id", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", "whole")
 
 
 STAGES = [("quality classifier", keep_good), ("SimHash near-dedup", drop_near_copies), ("secret scans", mask_secrets), ("mixing to target weights", mix_sources), ("BPE encoding", encode)]
