@@ -9,8 +9,9 @@ bit is one where the vote is above zero. Votes are counted sixteen bits to a lan
 differing bits at least r blocks stay clean, so each choice of r blocks is one table whose key is those blocks brought
 to the front. A pair is reported by the first table only in which it meets.
 
-`with_next` brings each document its successor in descending order of the id without one global sort: documents are
-dealt into contiguous ranges of ids, and the head of each range also goes, as a guest, to the end of the range above.
+`edited_pairs` brings each document its successor in descending order of the id without one global sort: documents are
+dealt into contiguous ranges of ids and sorted there. Only the last row of each range waits for the head of the next one;
+these two rows a range are joined afterwards.
 
 Defined cases: a null text is an empty text; a text without words has fingerprint zero; equal ids are ordered by the
 text's hash, null ids come last, ordered likewise; one document alone is its own successor.
@@ -24,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, settle
 
-#: Ids are first cut at quantiles, then evenly; ranges hold about so many bytes of text; no more ranges than that (this bounds what is broadcast: a few numbers a range).
-QUANTILES, RANGE_BYTES, RANGES, MOST_RANGES = 64, 8 << 20, 512, 1 << 16
+#: Ids are first cut at quantiles, then evenly; ranges hold about so many bytes of text; there are so many at least.
+QUANTILES, RANGE_BYTES, RANGES = 64, 8 << 20, 512
 BLOCK, LANES, LANE = 32_767, 0x0001000100010001, 0xFFFF
 
 
@@ -63,44 +64,44 @@ def likeness(a: str, b: str) -> Column:
     return 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """`docs` (id, text and `carry`) with next_<name> of the text and the carried columns."""
-    seen = docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("bytes"), F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.percentile_approx(id_col, [i / QUANTILES for i in range(1, QUANTILES)], 10_000).alias("cuts")).first()
+def ranged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with _tie, the text's hash, and _range: contiguous ranges in the order of the id, then (where it is null) of the tie."""
+    bare, size = F.col(id_col).isNull(), F.octet_length(text_col).cast("long")
+    seen = docs.agg(F.sum(size).alias("bytes"), F.sum(F.when(bare, size)).alias("bare"), F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.percentile_approx(id_col, [i / QUANTILES for i in range(1, QUANTILES)], 10_000).alias("cuts")).first()
     edges = sorted({seen["low"], *(seen["cuts"] or [])} - {None})
-    fine = -(-min(max(RANGES, (seen["bytes"] or 0) // RANGE_BYTES), MOST_RANGES) // QUANTILES)
-    ident, tie = F.col(id_col), F.xxhash64(text_col)
+    fine = -(-max(RANGES, (seen["bytes"] or 0) // RANGE_BYTES) // QUANTILES)
+    ident, tie, last = F.col(id_col), F.xxhash64(text_col), max(1, (seen["bare"] or 0) // RANGE_BYTES)
+    share = lambda of, n: F.least(F.floor(of * n), F.lit(n - 1))
+    at = share(tie.cast("double") / 2.0**64 + 0.5, last) - last
     if edges:
         steps = F.array(*(F.lit(e).cast("long") for e in [*edges, min(seen["high"] + 1, (1 << 63) - 1)]))
         cut = F.size(F.filter(steps, lambda e: e <= ident))
         low, high = (F.coalesce(F.get(steps, i), ident).cast("double") for i in (cut - 1, cut))
-        share = F.when(high > low, (ident.cast("double") - low) / (high - low)).otherwise(0.0)
-        at = F.when(ident.isNotNull(), cut * fine + F.least(F.floor(share * fine), F.lit(fine - 1)))
-    else:
-        at = F.lit(None).cast("long")
-    docs = docs.withColumn("_range", F.coalesce(at, -1 - F.pmod(tie, F.lit(RANGES))).cast("long")).withColumn("_tie", tie)
-    # The head of a range is its row of the largest id; rows of the same id and text are the same guest.
-    heads = docs.groupBy("_range").agg(F.max(F.struct(id_col, "_tie")).alias("_head"))
-    above = F.coalesce(F.lag("_range").over(W.orderBy(F.desc("_range"))), F.min("_range").over(W.partitionBy()))
-    heads = heads.select(F.col("_range").alias("_of"), F.col(f"_head.{id_col}").alias("_top"), F.col("_head._tie").alias("_head_tie"), above.alias("_to"))
-    is_head = (F.col("_range") == F.col("_of")) & ident.eqNullSafe(F.col("_top")) & (F.col("_tie") == F.col("_head_tie"))
-    both = docs.join(F.broadcast(heads), is_head, "left")
-    places = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("guest")), F.struct(F.col("_to").alias("at"), F.lit(1).alias("guest"))))
-    both = both.withColumn("_place", F.explode(places)).select(*[c for c in docs.columns if c != "_range"], "_place.*")
-    w = W.partitionBy("at").orderBy("guest", F.desc_nulls_last(id_col), F.desc("_tie"))
-    for c in [text_col, *carry]:
-        both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    return both.filter("guest = 0").drop("at", "guest", "_tie")
-
-
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_text, fp, edited_fp, next_fp) of every row; see the module's text."""
+        at = F.when(ident.isNotNull(), cut * fine + share(F.when(high > low, (ident.cast("double") - low) / (high - low)).otherwise(0.0), fine)).otherwise(at)
+    return docs.withColumn("_range", at.cast("long")).withColumn("_tie", tie)
+
+
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """(id, n_chars, edited_text, edited_sha256, fp, edited_fp, next_fp) of every row; see the module's text. The text is left out on demand."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = with_fingerprint(own, "text", "fp")
-    pairs = with_next(own, "id", "text", ["fp"])
-    pairs = pairs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_cut", F.floor(F.col("n_chars") / 3).cast("int"))
-    edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.col("_cut")).cast("int")), F.substr("next_text", F.lit(1), F.col("_cut")))
-    pairs = pairs.select("id", "n_chars", edited.alias("edited_text"), "fp", "next_fp")
-    return with_fingerprint(pairs, "edited_text", "edited_fp")
+    own = ranged(with_fingerprint(own, "text", "fp"), "id", "text")
+    kept = ["id", "n_chars", *(["edited_text"] if keep_text else []), "edited_sha256", "fp", "edited_fp", "next_fp"]
+
+    def edited(rows: DataFrame) -> DataFrame:
+        n = F.col("n_chars")
+        cut = F.floor(n / 3).cast("int")
+        rows = rows.withColumn("edited_text", F.concat(F.substr("text", F.lit(1), (n - cut).cast("int")), F.substr("next_text", F.lit(1), cut)))
+        return with_fingerprint(rows, "edited_text", "edited_fp").withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256))
+
+    w = W.partitionBy("_range").orderBy(F.desc_nulls_last("id"), F.desc("_tie"))
+    rows = own.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w), "_n": F.row_number().over(w)})
+    rows = edited(rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_head", F.col("_n") == 1).withColumn("_end", F.col("next_fp").isNull()))
+    rows = settle(rows.select(*kept, "_range", "_head", "_end", F.when(F.col("_head") | F.col("_end"), F.col("text")).alias("text")))
+    # The last row of a range is followed by the head of the next range below, the very last by the very first.
+    heads = rows.filter("_head").select(F.col("_range").alias("_of"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
+    below = heads.select("_of").select(F.col("_of").alias("_range"), F.coalesce(F.lead("_of").over(W.orderBy(F.desc("_of"))), F.max("_of").over(W.partitionBy())).alias("_of"))
+    ends = rows.filter("_end").select("id", "n_chars", "fp", "text", "_range").join(below, "_range").join(heads, "_of")
+    return rows.filter("NOT _end").select(kept).unionByName(edited(ends).select(kept))
 
 
 def within(fps: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:

@@ -42,8 +42,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
-    pairs = settle(pairs.select("id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fp", "edited_fp", "next_fp"))
+    pairs = settle(fingerprint.edited_pairs(table(spark, sf_dir, "documents"), keep_text=False))
     near = fingerprint.within(pairs, pairs.filter(F.col("id") % 100 == 0)).filter("distance > 0").groupBy("query_fp").agg(F.count("*").alias("n_near"))
     out = pairs.join(near, pairs["fp"] == near["query_fp"], "left")
     return out.select(

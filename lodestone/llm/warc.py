@@ -3,9 +3,11 @@
 `write_archive` writes for each row a transaction of three records: a request, a response (or, where the row's payload is
 that of another row, a revisit without it) and a metadata record; the latter two carry WARC-Concurrent-To. Rows of one
 payload are told apart by id: the largest is the response. Spark's own text writer writes the files (its line separator
-ends a record), so a lost task leaves nothing half-written. Files are gzip-compressed and bounded in rows.
+ends a record), so a lost task leaves nothing half-written. Files are gzip-compressed and hold about `FILE_BYTES`. Which
+row answers for a payload is settled on ids and digests alone; bodies move once, by id and digest, so that a payload
+shared by very many rows does not gather them.
 
-`read_records` reads the records by their Content-Length; `assemble` joins requests, responses and metadata through their
+`read_records` reads the records by their Content-Length, one at a time from the unpacking stream; `assemble` joins requests, responses and metadata through their
 concurrent-to identifiers into one nested row per capture. Payload digests are computed anew from what was read.
 
 Defined cases: a null payload is an empty one; a null address is written without target address; white space in an
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -26,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import checkpoint_dir, settle, spread
 
 DATE = "2024-01-01T00:00:00Z"
-FILE_ROWS = 2000
+FILE_BYTES, FILE_ROWS, SALTS, BATCH_BYTES = 64 << 20, 2000, 16, 32 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n"
 
@@ -56,8 +59,14 @@ def _record(headers: list[Column | None], block: Column) -> Column:
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("body"))
     own = own.withColumn("digest", base32_sha1(F.col("body").cast("binary")))
-    first = own.groupBy(F.col("digest").alias("d")).agg(F.max("id").alias("response_id"))
-    own = own.join(first, F.col("digest") == F.col("d"))
+    slim = settle(own.groupBy("id", "digest").agg(F.count("*").alias("n"), F.max(F.octet_length("body")).alias("size")))
+    each = slim.agg(F.sum("n"), F.sum(F.col("n") * F.col("size"))).first()
+    rows_each = max(1, min(FILE_ROWS, FILE_BYTES * (each[0] or 1) // max(1, each[1] or 0)))
+    shared = slim.groupBy("digest").agg(F.max("id").alias("response_id"), F.count("*").alias("ids")).filter("ids > 1")
+    shared = shared.select(F.col("digest").alias("d"), "response_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    salted = slim.select("id", "digest", spread(SALTS, F.col("id")).alias("salt"))
+    told = salted.join(shared, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.when(F.col("d").isNull(), F.col("id")).otherwise(F.col("response_id")).alias("response_id"))
+    own = own.join(told, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     named = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     fresh = F.col("id").eqNullSafe(F.col("response_id"))
     capture = _record_id("response", F.col("id"), F.col("digest"))
@@ -80,38 +89,44 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         _record([F.lit("WARC-Type: metadata"), named("WARC-Record-ID", _record_id("metadata", F.col("id"), F.col("digest"))), date, target, concurrent, F.lit("Content-Type: application/warc-fields")], fields),
     ]
     whole = own.select(F.concat_ws(END * 2, *records).alias("value"))
-    whole.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    whole.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", rows_each).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records (headers by lower-case name, block) of one archive."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while at < len(raw):
-        head = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:head].decode().split(END)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        begin = head + 4
-        end = begin + int(headers["content-length"])
-        if len(raw) < end:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield headers, raw[begin:end]
-        at = end + 4
+    """The records (headers by lower-case name, block) of one archive, one in memory at a time."""
+    source = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)), 1 << 20) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+    while line := source.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:40]!r}")
+        headers = {}
+        while (line := source.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("the headers of a record are cut off")
+            name, _, value = line.decode().partition(":")
+            headers[name.strip().lower()] = value.strip()
+        block = source.read(size := int(headers["content-length"]))
+        if len(block) < size:
+            raise ValueError("a record is cut off")
+        yield headers, block
+        source.read(len(END) * 2)
 
 
 RECORD = "file string, place long, type string, record_id string, concurrent_to string, target_uri string, date string, refers_to string, header_digest string, http_head string, payload_bytes long, payload_digest string, payload binary, fields map<string,string>"
 
 
+def framed(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
+    out["payload_bytes"] = out["payload_bytes"].astype("Int64")
+    return out
+
+
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row for each record of the archives under `path`. A revisit's size and digest are those that it states."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, raw in zip(batch["path"], batch["content"], strict=True):
-                rows = []
+                rows, held = [], 0
                 for place, (h, block) in enumerate(parse(raw)):
                     kind = h["warc-type"]
                     head = payload = size = fields = None
@@ -126,9 +141,11 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                     elif kind == "revisit":
                         size = next(int(x.partition(":")[2]) for x in head.split(END) if x.lower().startswith("content-length:"))
                     rows.append((file, place, kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-target-uri"), h["warc-date"], h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, head, size, digest, payload if with_payload else None, fields))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-                out["payload_bytes"] = out["payload_bytes"].astype("Int64")
-                yield out
+                    held += len(block) if with_payload else 256
+                    if held > BATCH_BYTES:
+                        yield framed(rows)
+                        rows, held = [], 0
+                yield framed(rows)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, RECORD)
 
@@ -144,8 +161,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def archive_place(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder."""
-    settle(spark.range(1))  # makes sure that there is one
-    return f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
