@@ -22,11 +22,17 @@ def hard_negative_rate(hits: DataFrame) -> DataFrame:
     return hits.agg(F.round(F.sum("n_hits") / F.nullif(F.sum("n_relevant"), F.lit(0)), 6).alias("rate"))
 
 
+def formulation_recall(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """(query_id, formulation, recall): what each wording of a query finds by itself. ranked has formulation too; a wording without results counts 0."""
+    wordings = ranked.select("query_id", "formulation").distinct()
+    found = ranked.filter(F.col("rank") <= k).select("query_id", "formulation", "paper_id").distinct().withColumn("hit", F.lit(1))
+    return wordings.join(relevant.distinct(), "query_id").join(found, ["query_id", "formulation", "paper_id"], "left").groupBy("query_id", "formulation").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
 def missed(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return relevant.distinct().join(ranked.filter(F.col("rank") <= k), ["query_id", "paper_id"], "left_anti")
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """Aggregate: the value at ceil(share n) in order."""
-    kept = F.sort_array(F.collect_list(values))
-    return F.get(kept, F.ceil(F.size(kept) * share).cast("int") - 1)
+def nearest_rank(values: str, share: float) -> Column:
+    """Aggregate: the value at ceil(share n) in order (counted by value, not gathered)."""
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {values})")

@@ -12,13 +12,14 @@ PIECE = "array<struct<at:int,end:int,text:string>>"
 
 
 def paragraphs(text: Column) -> Column:
-    """Cut at blank lines and at line ends after a period; trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(normalize_space(text), r"\n\s*\n|(?<=\.)\s*\n"), strip), lambda p: p != "")
+    """Cut at empty lines and at line ends after a period; trimmed, empty ones left out."""
+    parts = F.split(F.replace(text, F.lit("\r"), F.lit("")), r"\n{2,}|(?<=\.)\s*\n")
+    return F.filter(F.transform(parts, normalize_space), lambda p: p != "")
 
 
 def packed(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """array<struct<at, end, text>>: paragraphs packed up to the target; the next passage begins with the last `overlap`
-    characters; a paragraph above the target is cut into windows. Places count in the joined paragraphs."""
+    """array<struct<at, end, text>>: paragraphs, joined by a space, packed up to the target; the next passage begins with the
+    last `overlap` characters; a paragraph above the target is cut into windows. Places count in the joined paragraphs."""
     kind = f"struct<buf:string,start:int,cursor:int,out:{PIECE}>"
     start = F.from_json(F.lit('{"buf":"","start":0,"cursor":0,"out":[]}'), kind)
     piece = lambda at, body: F.array(F.struct(at.cast("int").alias("at"), (at + F.char_length(body)).cast("int").alias("end"), body.alias("text")))
@@ -32,11 +33,12 @@ def packed(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column
         count = F.greatest(F.ceil((n - target) / step), F.lit(0)).cast("int")
         windows = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct((a["cursor"] + i * step).cast("int").alias("at"), (a["cursor"] + i * step + F.char_length(F.substr(p, i * step + 1, F.lit(target)))).cast("int").alias("end"), F.substr(p, i * step + 1, F.lit(target)).alias("text")))
         tail = F.right(a["buf"], F.lit(overlap))
+        again = F.greatest(a["cursor"] - F.char_length(tail), F.lit(0))
         return (
             F.when(n > target, state(F.lit(""), after, after, F.concat(flushed, windows)))
             .when(m == 0, state(p, a["cursor"], after, a["out"]))
-            .when(m + 1 + n <= target, state(F.concat(a["buf"], F.lit("\n"), p), a["start"], after, a["out"]))
-            .otherwise(state(F.concat(tail, F.lit("\n"), p), a["cursor"] - 1 - F.char_length(tail), after, flushed))
+            .when(m + 1 + n <= target, state(F.concat(a["buf"], F.lit(" "), p), a["start"], after, a["out"]))
+            .otherwise(state(strip(F.concat(tail, F.lit(" "), p)), again, after, flushed))
         )
 
     return F.aggregate(paragraphs(text), start, fold, lambda a: F.when(F.char_length(a["buf"]) > 0, F.concat(a["out"], piece(a["start"], a["buf"]))).otherwise(a["out"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,59 +17,97 @@ K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 
 @dataclass
 class Index:
-    """postings (term, id, col, places) and sizes (id, n_tokens) over every row; statistics precede all filters."""
+    """postings (term, id, col, places, n_tokens) of every row, how many rows there are and how long they are on average.
+
+    The two numbers count all rows, also those that filters leave out later. n_tokens is the length of the posting's row.
+    """
 
     postings: DataFrame
-    sizes: DataFrame
+    rows: int
+    mean: float
 
     @staticmethod
-    def of(rows: DataFrame, id_col: str, columns: list[str]) -> Index:
+    def postings_of(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
         cols = rows.select(F.col(id_col).alias("id"), *(tokens(F.col(c)).alias(c) for c in columns))
-        words = cols.select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("words")) for c in columns))).alias("w")).select("id", "w.col", F.posexplode("w.words").alias("place", "term"))
-        postings = words.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        total = sum((F.size(c) for c in columns), F.lit(0))
-        return Index(postings, cols.select("id", total.cast("long").alias("n_tokens")))
+        total = sum((F.size(c) for c in columns), F.lit(0)).cast("long")
+        words = cols.select("id", total.alias("n_tokens"), F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("words")) for c in columns))).alias("w"))
+        words = words.select("id", "n_tokens", "w.col", F.posexplode("w.words").alias("place", "term"))
+        return words.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("place")).alias("places"), F.first("n_tokens").alias("n_tokens"))
 
+    @staticmethod
+    def statistics(rows: DataFrame, columns: list[str]) -> tuple[int, float]:
+        total = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
+        n, mean = rows.agg(F.count("*"), F.avg(total)).first()
+        return n, float(mean or 0)
 
-def _shifted(places: str, by: int) -> Column:
-    return F.transform(places, lambda x: x - by)
 
+def _fits(term: Column, p: Phrase, i: int) -> Column:
+    return term.startswith(p.tokens[i]) if p.prefix and i == len(p.tokens) - 1 else term == p.tokens[i]
 
-def _counts(index: Index, number: int, p: Phrase, weights: dict[str, float]) -> DataFrame:
-    """(id, leaf, f): weighted occurrences of one phrase. Phrases meet by places shifted to where the phrase begins."""
-    last = len(p.tokens) - 1
-    rows = index.postings
-    if p.column:
-        rows = rows.filter(F.col("col") == p.column)
-    hit = lambda i: F.col("term").startswith(p.tokens[i]) if p.prefix and i == last else F.col("term") == p.tokens[i]
-    found = rows.filter(hit(0)).select("id", "col", F.col("places").alias("at"))
-    for i in range(1, last + 1):
-        found = found.join(rows.filter(hit(i)).select("id", "col", _shifted("places", i).alias("b")), ["id", "col"]).select("id", "col", F.array_intersect("at", "b").alias("at"))
-    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1])))), F.col("col")), F.lit(1.0))
-    found = found.filter(F.size("at") > 0)
-    return found.groupBy("id").agg(F.sum(weight * F.size("at")).alias("f")).select("id", F.lit(number).alias("leaf"), "f")
 
+def _weighted(weights: dict[str, float], columns: list[str], p: Phrase, count) -> Column:
+    """The sum of count(column) times its weight over the columns that the phrase may stand in."""
+    parts = [F.lit(float(weights.get(c, 1.0))) * count(c) for c in columns if not p.columns or c in p.columns]
+    return sum(parts[1:], parts[0]) if parts else F.lit(0.0)
 
-def bm25(index: Index, query, weights: dict[str, float]) -> DataFrame:
+
+def _frequencies(index: Index, leaves_: list[Phrase], weights: dict[str, float]) -> DataFrame:
+    """(id, n_tokens, f0, f1, ...): weighted occurrences of each leaf, from the postings of the query's terms alone."""
+    wanted = F.lit(False)
+    for p in leaves_:
+        for i in range(len(p.tokens)):
+            wanted = wanted | _fits(F.col("term"), p, i)
+    hits = index.postings.filter(wanted).groupBy("id").agg(F.first("n_tokens").alias("n_tokens"), F.collect_list(F.struct("term", "col", "places")).alias("hits"))
+
+    def places(c: str, p: Phrase, i: int) -> Column:
+        return F.flatten(F.transform(F.filter("hits", lambda h: (h["col"] == c) & _fits(h["term"], p, i)), lambda h: F.transform(h["places"], lambda x: x - i)))
+
+    def count(p: Phrase):
+        def of(c: str) -> Column:
+            at = places(c, p, 0)
+            for i in range(1, len(p.tokens)):
+                at = F.array_intersect(at, places(c, p, i))
+            return F.size(F.filter(at, lambda x: x == 0) if p.first else at)
+
+        return of
+
+    return hits.select("id", "n_tokens", *(_weighted(weights, list(weights), p, count(p)).alias(f"f{i}") for i, p in enumerate(leaves_)))
+
+
+def _scanned(rows: DataFrame, id_col: str, leaves_: list[Phrase], weights: dict[str, float], keep: tuple[str, ...]) -> DataFrame:
+    """The same of all rows, read off their texts, without an index."""
+    toks = rows.select(F.col(id_col).alias("id"), *keep, *(tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(weights)))
+    number = {c: f"_{i}" for i, c in enumerate(weights)}
+
+    def count(p: Phrase):
+        m = len(p.tokens)
+
+        def of(c: str) -> Column:
+            t = F.col(number[c])
+            if m == 1 and not p.first:
+                return F.size(F.filter(t, lambda x: _fits(x, p, 0)))
+            here = lambda i: F.size(F.filter(F.array(*(_fits(F.get(t, i + k), p, k) for k in range(m))), lambda y: y)) == m
+            begins = F.filter(F.transform(t, lambda x, i: F.when(_fits(x, p, 0), i)), lambda i: i.isNotNull() & here(i))
+            return F.size(F.filter(begins, lambda i: i == 0) if p.first else begins)
+
+        return of
+
+    total = sum((F.size(number[c]) for c in weights), F.lit(0)).cast("long")
+    return toks.select("id", *keep, total.alias("n_tokens"), *(_weighted(weights, list(weights), p, count(p)).alias(f"f{i}") for i, p in enumerate(leaves_)))
+
+
+def _scored(found: DataFrame, query, n: int, mean: float, frequency: list[int], keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, score) of the rows that match; smaller is better. Repeated terms count as often as they stand."""
-    scored, every = leaves(query), all_leaves(query)
-    distinct = list(dict.fromkeys(every))
-    times = {p: scored.count(p) for p in distinct}
-    hits = _counts(index, 0, distinct[0], weights)
-    for i, p in enumerate(distinct[1:], 1):
-        hits = hits.unionByName(_counts(index, i, p, weights))
-    n, mean = index.sizes.agg(F.count("*"), F.avg("n_tokens")).first()
-    frequency = hits.groupBy("leaf").agg(F.count("*").alias("df"))
-    idf = F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    many = F.element_at(F.create_map(*(F.lit(x) for i, p in enumerate(distinct) for x in (i, times[p]))), F.col("leaf"))
-    frequency = frequency.select("leaf", (F.when(idf <= 0, LEAST_IDF).otherwise(idf) * many).alias("idf"))
-    hits = hits.join(F.broadcast(frequency), "leaf").join(index.sizes, "id")  # one row for each leaf of the query
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(float(mean or 1))))
-    rows = hits.groupBy("id").agg((-F.sum(part)).alias("score"), F.collect_set("leaf").alias("met"))
+    scored, distinct = leaves(query), list(dict.fromkeys(all_leaves(query)))
+    score = F.lit(0.0)
+    for i, p in enumerate(distinct):
+        idf = math.log((n - frequency[i] + 0.5) / (frequency[i] + 0.5))
+        idf, f = (LEAST_IDF if idf <= 0 else idf) * scored.count(p), F.col(f"f{i}")
+        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(mean or 1.0)))
 
     def holds(node) -> Column:
         if isinstance(node, Phrase):
-            return F.array_contains("met", distinct.index(node))
+            return F.col(f"f{distinct.index(node)}") > 0
         if isinstance(node, And | Or):
             out = holds(node.parts[0])
             for p in node.parts[1:]:
@@ -76,7 +115,23 @@ def bm25(index: Index, query, weights: dict[str, float]) -> DataFrame:
             return out
         return holds(node.keep) & ~holds(node.drop)
 
-    return rows.filter(holds(query)).select("id", "score")
+    return found.filter(holds(query)).select("id", *keep, (-score).alias("score"))
+
+
+def bm25(index: Index, query, weights: dict[str, float]) -> DataFrame:
+    """(id, score) of the rows of an index that match. The terms of the query are read once, for all its leaves."""
+    distinct = list(dict.fromkeys(all_leaves(query)))
+    found = _frequencies(index, distinct, weights)
+    frequency = found.agg(*(F.count_if(F.col(f"f{i}") > 0) for i in range(len(distinct)))).first()
+    return _scored(found, query, index.rows, index.mean, list(frequency))
+
+
+def bm25_rows(rows: DataFrame, id_col: str, query, weights: dict[str, float], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, `keep`, score) of `rows` that match, without an index: one pass over the texts; what is shuffled is a few numbers a row."""
+    distinct = list(dict.fromkeys(all_leaves(query)))
+    found = _scanned(rows, id_col, distinct, weights, keep).persist()  # a few numbers a row; spills to disk
+    n, mean, *frequency = found.agg(F.count("*"), F.avg("n_tokens"), *(F.count_if(F.col(f"f{i}") > 0) for i in range(len(distinct)))).first()
+    return _scored(found, query, n, float(mean or 0), frequency, keep)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -99,8 +154,8 @@ def fuse(arms: DataFrame, limit: int | None = None, k: int = RRF_K) -> DataFrame
 
 
 def best_per_work(scored: DataFrame, n: int = 1) -> DataFrame:
-    """The best `n` passages (paper_id, id, score, ...) of each work."""
-    w = W.partitionBy("paper_id").orderBy("score", "id")
+    """The best `n` passages (paper_id, id, score, ...) of each work; ties go by the kind of artifact (kind_order), if given, then by id."""
+    w = W.partitionBy("paper_id").orderBy("score", *(["kind_order"] if "kind_order" in scored.columns else []), "id")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 

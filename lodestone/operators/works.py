@@ -6,25 +6,31 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.identity import SOURCES, STATUSES, VERSIONS, rank, set_print
+from ..functions.identity import SEARCHED_ROLES, SOURCES, STATUSES, VERSIONS, rank, set_print
+from ..functions.text import identity_text, normalize_space, work_title
 
 FIELDS = ["title", "authors", "year", "journal", "doi", "keywords"]
+DUPLICATE = "identical_content_hash_with_distinct_identity:"
+
+
+def _manifest() -> Column:
+    return F.coalesce(F.col("metadata_source"), F.lit("")) == "MANIFEST"
 
 
 def canonical(artifacts: DataFrame) -> DataFrame:
-    """(paper_id, artifact_id) of the best identified, best published artifact."""
-    best = W.partitionBy("paper_id").orderBy(F.desc(rank(F.col("identity_status"), STATUSES)), F.desc(rank(F.col("artifact_version"), VERSIONS)), F.desc(F.col("artifact_kind") == "PRIMARY_PDF"), "source_rel", "artifact_id")
+    """(paper_id, artifact_id) of the best identified artifact; then manifested, best published, primary PDF."""
+    best = W.partitionBy("paper_id").orderBy(F.desc(rank(F.col("identity_status"), STATUSES, -1)), F.desc(_manifest()), F.desc(rank(F.col("artifact_version"), VERSIONS)), F.desc(F.col("artifact_kind") == "PRIMARY_PDF"), "source_rel", "artifact_id")
     return artifacts.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("paper_id", "artifact_id")
 
 
 def field_values(artifacts: DataFrame) -> DataFrame:
     """One row per artifact and non-empty field, with its ranks."""
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS))
-    rows = artifacts.select("paper_id", "artifact_id", "source_rel", (F.col("artifact_kind") == "PRIMARY_PDF").alias("primary"), rank(F.col("artifact_version"), VERSIONS).alias("version"), "metadata_provenance", F.explode(pairs).alias("p"))
+    rows = artifacts.select("paper_id", "artifact_id", "source_rel", _manifest().alias("manifest"), (F.col("artifact_kind") == "PRIMARY_PDF").alias("primary"), rank(F.col("artifact_version"), VERSIONS).alias("version"), "metadata_provenance", F.explode(pairs).alias("p"))
     rows = rows.select("*", "p.field", "p.value").drop("p").filter("value <> ''")
     source = F.coalesce(F.try_element_at("metadata_provenance", "field"), F.lit(""))
     return rows.withColumn("origin", source).withColumn("trust", rank(source, SOURCES)).drop("metadata_provenance")
@@ -32,60 +38,117 @@ def field_values(artifacts: DataFrame) -> DataFrame:
 
 def cascade(artifacts: DataFrame) -> DataFrame:
     """(paper_id, field, value, origin): for each field the most trusted value."""
-    order = W.partitionBy("paper_id", "field").orderBy(F.desc("trust"), F.desc("primary"), F.desc("version"), "source_rel", "artifact_id")
+    order = W.partitionBy("paper_id", "field").orderBy(F.desc("trust"), F.desc("manifest"), F.desc("primary"), F.desc("version"), "source_rel", "artifact_id")
     return field_values(artifacts).withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("paper_id", "field", "value", "origin")
 
 
 def conflicts(artifacts: DataFrame) -> DataFrame:
-    """(paper_id, field, options): several values among the most trusted, from embedded metadata or better."""
-    rows = field_values(artifacts)
-    top = rows.groupBy("paper_id", "field").agg(F.max("trust").alias("trust"))
-    seen = rows.join(top, ["paper_id", "field", "trust"]).filter(F.col("trust") >= SOURCES["embedded"])
-    return seen.groupBy("paper_id", "field").agg(F.sort_array(F.collect_set(F.trim(F.regexp_replace("value", r"\s+", " ")))).alias("o")).filter(F.size("o") > 1).select("paper_id", "field", F.array_join("o", " | ").alias("options"))
+    """(paper_id, field, options): several values that tie in all ranks, from PDF metadata or better."""
+    ranks = F.struct("trust", "manifest", "primary", "version")
+    rows = field_values(artifacts).withColumn("ranks", ranks).filter(normalize_space(F.col("value")) != "")
+    best = rows.withColumn("best", F.max("ranks").over(W.partitionBy("paper_id", "field")))
+    seen = best.filter((F.col("ranks") == F.col("best")) & (F.col("trust") >= SOURCES["PDF_DOCUMENT_METADATA"]))
+    return seen.groupBy("paper_id", "field").agg(F.sort_array(F.collect_set(normalize_space(F.col("value")))).alias("o")).filter(F.size("o") > 1).select("paper_id", "field", F.array_join("o", " | ").alias("options"))
+
+
+def searched(artifacts: DataFrame) -> Column:
+    """Whether an artifact is searched."""
+    return (F.col("root_role") != "PROCESS") & F.col("role").isin(SEARCHED_ROLES) & (F.col("artifact_kind") != "STRUCTURED_COMPANION")
+
+
+def bibliography_print(paper_id: Column, status: Column, provenance: Column, conflict: Column) -> Column:
+    """What a citation rests on: the work, how it is identified, the shown fields, where they come from and what conflicts."""
+    shown = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "authors", "year", "journal", "doi")]
+    told = F.array_join(F.transform(F.array_sort(F.map_entries(provenance)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return F.sha2(F.concat_ws("\x1f", paper_id, status, *shown, told, F.coalesce(conflict, F.lit(""))).cast("binary"), 256)
 
 
 def works(artifacts: DataFrame) -> DataFrame:
-    """One row per work: its fields with their origins, and three fingerprints."""
+    """One row per work: its fields with their origins, its status, conflicts and three fingerprints."""
     value = lambda f, c: F.coalesce(F.max(F.when(F.col("field") == f, F.col(c))), F.lit(""))
     chosen = cascade(artifacts).groupBy("paper_id").agg(*(value(f, "value").alias(f) for f in FIELDS), F.sort_array(F.collect_list(F.struct("field", "origin"))).alias("_o"))
     chosen = chosen.withColumn("metadata_provenance", F.map_from_entries("_o")).drop("_o")
     prints = artifacts.groupBy("paper_id").agg(
         F.count("*").alias("n_artifacts"),
         set_print(F.col("content_hash")).alias("content_fingerprint"),
-        set_print(F.when(~F.col("role").isin("PROCESS_EVIDENCE", "OTHER") & (F.col("artifact_kind") != "COMPANION"), F.col("content_hash"))).alias("_searched"),
+        F.max(searched(artifacts)).alias("searched"),
+        set_print(F.when(searched(artifacts), F.col("content_hash"))).alias("_searched"),
     )
-    out = prints.join(chosen, "paper_id", "left").fillna("", FIELDS)
-    shown = F.concat_ws("\n", *FIELDS)
-    return out.withColumn("bibliography_fingerprint", F.sha2(shown.cast("binary"), 256)).withColumn("retrieval_fingerprint", F.sha2(F.concat_ws("\n", shown, "_searched").cast("binary"), 256)).drop("_searched")
+    best = canonical(artifacts).join(artifacts.select("artifact_id", "identity_status"), "artifact_id").select("paper_id", F.col("artifact_id").alias("canonical_artifact"), "identity_status")
+    apart = conflicts(artifacts).groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "field", "options"))), "; ").alias("metadata_conflict"))
+    out = prints.join(best, "paper_id").join(chosen, "paper_id", "left").join(apart, "paper_id", "left").fillna("", [*FIELDS, "metadata_conflict"])
+    out = out.withColumn("metadata_provenance", F.coalesce("metadata_provenance", F.create_map().cast("map<string,string>")))
+    shown = F.concat_ws("\x1f", "paper_id", *FIELDS)
+    out = out.withColumn("bibliography_fingerprint", bibliography_print(F.col("paper_id"), F.col("identity_status"), F.col("metadata_provenance"), F.col("metadata_conflict")))
+    return out.withColumn("retrieval_fingerprint", F.sha2(F.concat_ws("\x1f", shown, "_searched").cast("binary"), 256)).drop("_searched")
+
+
+def corpus_prints(w: DataFrame) -> DataFrame:
+    """(kind, fingerprint): source of all works, coverage and ranking of the searched ones. 4,096 hash ranges are digested first, then their digests."""
+    kinds = [("source", F.concat_ws(":", "paper_id", "content_fingerprint"), F.lit(True)), ("coverage", F.col("paper_id"), F.col("searched")), ("ranking", F.col("retrieval_fingerprint"), F.col("searched"))]
+    rows = w.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.when(c, x).alias("x")) for k, x, c in kinds))).alias("r")).select("r.*").filter("x IS NOT NULL")
+    parts = rows.groupBy("kind", F.substring(F.sha2(F.col("x").cast("binary"), 256), 1, 3).alias("part")).agg(set_print(F.col("x")).alias("d"))
+    return parts.groupBy("kind").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(":", "part", "d")))).cast("binary"), 256).alias("fingerprint"))
 
 
 def duplicate_contents(artifacts: DataFrame) -> DataFrame:
     """(content_hash, papers): one content under several works."""
-    return artifacts.groupBy("content_hash").agg(F.sort_array(F.collect_set("paper_id")).alias("p")).filter(F.size("p") > 1).select("content_hash", F.array_join("p", ",").alias("papers"))
+    pairs = artifacts.filter(F.coalesce("content_hash", F.lit("")) != "").select("content_hash", "paper_id").distinct()
+    return pairs.groupBy("content_hash").agg(F.sort_array(F.collect_list("paper_id")).alias("p")).filter(F.size("p") > 1).select("content_hash", F.array_join("p", ",").alias("papers"))
+
+
+def without_duplicates(conflict: Column) -> Column:
+    """A conflict text without the notes on equal contents, which are written anew each time."""
+    return F.array_join(F.filter(F.transform(F.split(F.coalesce(conflict, F.lit("")), "; "), F.trim), lambda x: (x != "") & ~x.startswith(DUPLICATE)), "; ")
 
 
 def headings(passages: DataFrame) -> DataFrame:
     """(paper_id, headings): section names in order of first sight, without defaults and page names. `passages` has paper_id, place, section."""
-    named = passages.filter(~F.lower("section").rlike(r"^(document body|page [0-9]+)$") & (F.col("section") != ""))
+    named = passages.withColumn("section", normalize_space(F.col("section"))).filter(~F.lower("section").rlike(r"^(document body|page\s+[0-9]+)$") & (F.col("section") != ""))
     first = named.groupBy("paper_id", "section").agg(F.min("place").alias("place"))
     return first.groupBy("paper_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "section"))), lambda s: s["section"]), "; ").alias("headings"))
 
 
+def companion_keys(files: DataFrame) -> DataFrame:
+    """`files` (directory, stem, title) with what is compared: dir_key, stem_key, title_key."""
+    return files.withColumns({"dir_key": F.lower("directory"), "stem_key": work_title(F.col("stem")), "title_key": identity_text(F.col("title"))})
+
+
+def companion_blocks(candidates: DataFrame, targets: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs (a.*, b.*) of one directory that can reach the ratio, by length and by letters.
+
+    Both ratios are at most 2 m / (n1 + n2), m the letters in common, counted with repeats; so keys of one directory are
+    joined on the class of their length too, and pairs are kept by the bound on their letter counts. No pair is lost.
+    """
+    step = F.lit((2 - least) / least * 1.0001)  # lengths differ by less than this factor
+    grade = lambda c: F.floor(F.log(F.greatest(F.char_length(c), F.lit(1))) / F.log(step)).cast("int")
+    letters = lambda c: F.transform(F.array_distinct(F.split(F.col(c), "")), lambda x: F.struct(x.alias("x"), (F.char_length(F.col(c)) - F.char_length(F.replace(F.col(c), x, F.lit("")))).alias("n")))
+    bags = lambda df: df.withColumns({"stem_bag": letters("stem_key"), "title_bag": letters("title_key"), "grade": grade("title_key")})
+    a = bags(companion_keys(candidates)).withColumn("_met", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1))).alias("a")
+    b = bags(companion_keys(targets)).alias("b")
+
+    def bounded(key: str, bag: str) -> Column:
+        both = F.aggregate(F.col(f"a.{bag}"), F.lit(0), lambda s, p: s + F.least(p["n"], F.coalesce(F.get(F.filter(F.col(f"b.{bag}"), lambda q: q["x"] == p["x"]), 0)["n"], F.lit(0))))
+        total = F.char_length(f"a.{key}") + F.char_length(f"b.{key}")
+        lengths = 2 * F.least(F.char_length(f"a.{key}"), F.char_length(f"b.{key}")) >= least * total
+        return lengths & ((total == 0) | (2 * both >= least * total))
+
+    return a.join(b, (F.col("a.dir_key") == F.col("b.dir_key")) & (F.col("a._met") == F.col("b.grade")) & bounded("title_key", "title_bag") & bounded("stem_key", "stem_bag"))
+
+
 def companions(candidates: DataFrame, targets: DataFrame, least: float = 0.9) -> DataFrame:
-    """(artifact_id, paper_id, score): same directory, both likeness ratios at least `least`.
+    """(artifact_id, paper_id, score, basis, status): same directory, both likeness ratios at least `least`; suggestions, never bindings.
 
-    An equi-join on the directory with a length bound that no pair above the ratio misses; what is left is scored in Python.
-    Both sides have: directory, stem, title; candidates artifact_id, targets paper_id.
+    What passes `companion_blocks` is scored in Python. Both sides have: directory, stem, title; candidates artifact_id,
+    targets paper_id.
     """
-    a, b = candidates.alias("a"), targets.alias("b")
-    bound = lambda c: 2 * F.least(F.char_length(f"a.{c}"), F.char_length(f"b.{c}")) >= least * (F.char_length(f"a.{c}") + F.char_length(f"b.{c}"))
-    near = a.join(b, (F.lower("a.directory") == F.lower("b.directory")) & bound("stem") & bound("title"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratio = lambda x, y: difflib.SequenceMatcher(None, x.casefold(), y.casefold()).ratio()
+        ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
         for p in batches:
             s = [min(ratio(r.s1, r.s2), ratio(r.t1, r.t2)) for r in p.itertuples()]
             yield p[["artifact_id", "paper_id"]].assign(score=pd.Series(s, index=p.index, dtype="float64"))
 
-    cols = ["a.artifact_id", "b.paper_id", F.col("a.stem").alias("s1"), F.col("b.stem").alias("s2"), F.col("a.title").alias("t1"), F.col("b.title").alias("t2")]
-    return near.select(*cols).mapInPandas(score, "artifact_id string, paper_id string, score double").filter(F.col("score") >= least)
+    cols = ["a.artifact_id", "b.paper_id", F.col("a.stem_key").alias("s1"), F.col("b.stem_key").alias("s2"), F.col("a.title_key").alias("t1"), F.col("b.title_key").alias("t2")]
+    found = companion_blocks(candidates, targets, least).select(*cols).mapInPandas(score, "artifact_id string, paper_id string, score double").filter(F.col("score") >= least)
+    return found.select("*", F.lit("same directory, stem and title alike; confirmation required").alias("basis"), F.lit("PENDING").alias("status"))

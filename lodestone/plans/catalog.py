@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..functions.text import ACCENTED, PLAIN
+from ..functions.text import ACCENTED, APPENDIX_MARKS, APPENDIX_NAMES, CORRECTION, FILLERS, PLAIN, SECTIONS
 from ..operators import evaluation, ledger, passages, retrieval, sync, works
 from ..sources.files import layout
 from ..sources.tables import ARTIFACTS_SQL, artifacts, table
@@ -18,7 +18,10 @@ from . import query as q
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 WORDS, WEIGHTS, LIMIT = "the of and", {"title": 5.0, "text": 1.0}, 50
-SEARCHED = "('MAIN_ARTICLE', 'ONLINE_APPENDIX', 'CORRECTION')"
+#: Of a search for so many works each arm yields so many ranks; the pool of a rescue.
+FUSED, POOL = 30, 1000
+ARM = max(4 * FUSED, 50)
+SEARCHED = "('MAIN_ARTICLE', 'ONLINE_APPENDIX', 'COMMENT_CORRECTION')"
 
 
 def query(sql: str | None = None, art: bool = True):
@@ -42,7 +45,7 @@ def searchable(rows: DataFrame, arts: DataFrame) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages with their work, role and locator."""
     a = artifacts(spark, sf_dir)
-    p = passages.passages(a, keep=("doc_id", "paper_id", "role", "artifact_kind", "artifact_id", "content_hash", "title"))
+    p = passages.passages(a, keep=("doc_id", "paper_id", "role", "root_role", "source_rel", "artifact_kind", "artifact_id", "content_hash", "title"))
     return p.withColumn("id", identity.locator(F.col("artifact_id"), F.col("content_hash"), F.col("char_start"), F.col("char_end"), F.col("text")))
 
 
@@ -82,28 +85,73 @@ def normalize_identity(spark, sf_dir):
     return artifacts(spark, sf_dir).select("doc_id", text.identity_text(F.col("title")).alias("key"))
 
 
-DOIS = ["https://doi.org/10.1287/mnsc.2020.1234.", "doi: 10.1000/XYZ-1)", "see http://dx.doi.org/10.5555/a;b,", "none", ""]
+SPACED = lambda x: f"trim(regexp_replace(replace(replace({x}, chr(173), ''), chr(0), ' '), '[ \\t\\r]+', ' ', 'g'), E' \\t\\n\\r\\x0b\\x0c')"
+RAW_DOI = "CASE doc_id % 5 WHEN 0 THEN 'https://doi.org/' || upper(doi) || '.' WHEN 1 THEN 'doi: ' || doi || ')' WHEN 2 THEN title || ' (http://dx.doi.org/' || doi || ',)' WHEN 3 THEN substr(text, 1, 40) || ' ' || doi || '|foo' ELSE 'x' || doi || text END"
+DOI_SQL = lambda x: f"regexp_replace(regexp_extract(regexp_replace(lower({SPACED(x)}), '^(?:https?://(?:dx\\.)?doi\\.org/|doi:\\s*)', ''), '(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])(10\\.[0-9]{{4,9}}/[-._;()/:a-z0-9]+)', 1), '[.,;)]+$', '')"
 
 
-@query("SELECT * FROM (VALUES (0, '10.1287/mnsc.2020.1234'), (1, '10.1000/xyz-1'), (2, '10.5555/a;b'), (3, ''), (4, '')) t(n, doi)", art=False)
+@query(f"SELECT doc_id, {DOI_SQL(RAW_DOI)} AS doi FROM art")
 def normalize_doi(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(DOIS)), "n int, raw string").select("n", text.normalize_doi(F.col("raw")).alias("doi"))
+    """DOIs as texts write them, in five manners, between words of the documents."""
+    return artifacts(spark, sf_dir).select("doc_id", text.normalize_doi(F.expr(RAW_DOI)).alias("doi"))
 
 
-STEMS = ["Pricing under noise - Online Appendix", "Pricing_under noise correction", "Pricing under noise"]
+STEM = "title || CASE doc_id % 10 WHEN 0 THEN ' - Online Appendix' WHEN 1 THEN '_OA' WHEN 2 THEN ' correction to' WHEN 3 THEN ' (Supplementary Material)' WHEN 4 THEN '__附录' WHEN 5 THEN '.Technical-Appendix_v2' WHEN 6 THEN ' Comments on x' WHEN 7 THEN 'appendix' WHEN 8 THEN ' [OA] appendix online' ELSE '' END"
+#: RE2 has no look-ahead: a mark is put before each separator, and at the end.
+APART = "chr(57344)"
+MARKED = "(?i)(?:^|[\\s_.\\-(\\[{])(?:" + "|".join(APPENDIX_MARKS) + ")"
+MARKED_APART = MARKED.replace("[\\s_.-]*", "(?:\ue000?[\\s_.-])*")
+FOLDED = lambda x: f"replace(lower({x}), 'ß', 'ss')"
+BARE_SQL = f"replace(regexp_replace(regexp_replace(stem, '([\\s_.\\-)\\]}}])', {APART} || '\\1', 'g') || {APART}, '{MARKED_APART}' || {APART}, ' ', 'g'), {APART}, '')"
+BARE_SQL = f"regexp_replace(regexp_replace({BARE_SQL}, '{CORRECTION}', ' ', 'g'), '(?i)\\b(?:{'|'.join(FILLERS)})\\b', ' ', 'g')"
+BARE_SQL = f"regexp_replace({BARE_SQL}, '(?i)^\\s*(?:to|for|of|on)($|[^\\p{{L}}\\p{{N}}\\p{{M}}_])', ' \\1')"
+WORK_KEY_SQL = f"coalesce(nullif({FOLDED(f"trim(regexp_replace({BARE_SQL}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g'))")}, ''), {FOLDED('stem')})"
+ROLE_SQL = f"CASE WHEN root_role = 'PROCESS' THEN 'PROCESS_EVIDENCE' WHEN {' OR '.join(f"contains(lower(stem), '{x}')" for x in APPENDIX_NAMES)} THEN 'ONLINE_APPENDIX' WHEN regexp_matches(lower(stem), '{CORRECTION}') THEN 'COMMENT_CORRECTION' WHEN regexp_matches(stem, '{MARKED}(?:$|[\\s_.\\-)\\]}}])') THEN 'ONLINE_APPENDIX' ELSE 'MAIN_ARTICLE' END"
 
 
-@query("SELECT * FROM (VALUES (0, 'pricing under noise', 'ONLINE_APPENDIX'), (1, 'pricing_under noise', 'CORRECTION'), (2, 'pricing under noise', 'MAIN_ARTICLE')) t(n, key, role)", art=False)
+@query(f"WITH s AS (SELECT doc_id, root_role, {STEM} AS stem FROM art) SELECT doc_id, {WORK_KEY_SQL} AS key, {ROLE_SQL} AS role FROM s")
 def work_title_key(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(STEMS)), "n int, stem string")
-    return rows.select("n", text.work_title(F.col("stem")).alias("key"), identity.role_of(F.col("stem"), F.lit("PAPER"), F.lit(None).cast("string")).alias("role"))
+    """Keys and roles of file names made of the titles, with ten kinds of endings."""
+    rows = artifacts(spark, sf_dir).select("doc_id", "root_role", F.expr(STEM).alias("stem"))
+    return rows.select("doc_id", text.work_title(F.col("stem")).alias("key"), identity.role_of(F.col("stem"), F.col("root_role"), F.lit(None).cast("string")).alias("role"))
+
+
+NAME = "lpad(CAST(doc_id % 30 AS STRING), 2, '0') || CASE WHEN doc_id % 4 = 3 THEN '-' ELSE '_' END || CASE WHEN doc_id % 2 = 0 THEN 'mnsc' ELSE 'MKSC' END || '.20' || lpad(CAST(doc_id % 25 AS STRING), 2, '0') || '.' || CAST(doc_id AS STRING) || '_' || CASE WHEN doc_id % 3 = 0 THEN 'fp' ELSE 'OA' END || '_Ab_' || title || '- sub__tail'"
+
+
+@query(f"WITH s AS (SELECT doc_id, title, {NAME.replace('STRING', 'VARCHAR')} AS stem FROM art) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'FP' ELSE 'OA' END AS code, '20' || lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') AS year, '10.1287/' || CASE WHEN doc_id % 2 = 0 THEN 'mnsc' ELSE 'mksc' END || '.20' || lpad(CAST(doc_id % 25 AS VARCHAR), 2, '0') || '.' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN 'Management Science' ELSE 'Marketing Science' END AS journal, trim(title || ': sub') AS title FROM s WHERE doc_id % 4 <> 3")
+def filename_parse(spark, sf_dir):
+    """Structured file names made of ids and titles; every fourth is none."""
+    rows = artifacts(spark, sf_dir).select("doc_id", identity.structured_name(F.expr(NAME)).alias("n"))
+    return rows.filter("n IS NOT NULL").select("doc_id", "n.*")
+
+
+PROCESS_REL = "CASE doc_id % 4 WHEN 0 THEN 'ManagementScience/' WHEN 1 THEN 'MarketingScience/' WHEN 2 THEN 'other/sub/' ELSE '' END"
+PROCESS_STEM = "CASE doc_id % 3 WHEN 0 THEN 'MS-MNSC-' || doc_id || '-2_20190304_x' WHEN 1 THEN 'MKSC-' || doc_id || '__letter' ELSE title || '__note_20210101_' END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {PROCESS_REL} AS folder, {PROCESS_STEM} AS stem FROM art)
+SELECT doc_id, CASE WHEN folder = 'ManagementScience/' THEN 'Management Science submission process' WHEN folder = 'MarketingScience/' OR doc_id % 3 = 1 THEN 'Marketing Science submission process' WHEN folder = 'other/sub/' THEN 'other' ELSE 'Submission process' END AS journal,
+CASE doc_id % 3 WHEN 0 THEN 'MS-MNSC-' || doc_id || '-2' WHEN 1 THEN 'MKSC-' || doc_id ELSE upper(regexp_extract(stem, '(?i)^((?:MS|MKSC|JMR)[-_A-Z]*-?[0-9]+(?:-[0-9]+)?)', 1)) END AS manuscript,
+CASE doc_id % 3 WHEN 0 THEN '2019' WHEN 2 THEN '2021' ELSE '' END AS year, string_split(stem, '__')[1] AS title FROM s""")
+def process_metadata(spark, sf_dir):
+    """Names of process files in three folders and at the top."""
+    rows = artifacts(spark, sf_dir).select("doc_id", identity.process_name(F.expr(f"{PROCESS_REL} || 'x'"), F.expr(PROCESS_STEM)).alias("n"))
+    return rows.select("doc_id", "n.*")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {SPACED("regexp_replace(authors, ' ', '   ') || ' and ' || journal")} END AS authors, CASE WHEN doc_id % 3 = 0 THEN '' ELSE year END AS year FROM art""")
+def citation_block(spark, sf_dir):
+    """The line that tells how to cite, amid the whole text; every third has none."""
+    front = "substr(text, 1, 200) || CASE WHEN doc_id % 3 = 0 THEN ' cite this: ' ELSE ' to CITE this article:  ' END || regexp_replace(authors, ' ', '   ') || ' and ' || journal || ' (' || year || ') ' || text"
+    return artifacts(spark, sf_dir).select("doc_id", identity.citation_block(F.expr(front)).alias("c")).select("doc_id", "c.*")
 
 
 KEY_TITLE, KEY_AUTHORS = (r"trim(regexp_replace(replace(lower(@), 'ß', 'ss'), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g'))".replace("@", c) for c in ("title", "authors"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN {KEY_TITLE} = '' THEN 'title:' || substr(sha256(''), 1, 24) ELSE 'key:' || substr(sha256({KEY_TITLE} || '|' || {KEY_AUTHORS} || '|' || year), 1, 24) END AS work,
-CASE WHEN doi <> '' THEN 'DOI' WHEN {KEY_TITLE} = '' THEN 'PROVISIONAL' ELSE 'METADATA_KEY' END AS status FROM art""")
+@query(f"""SELECT doc_id, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN {KEY_TITLE} = '' THEN 'provisional:' || substr(sha256('unknown'), 1, 24) ELSE 'meta:' || substr(sha256({KEY_TITLE} || '|' || {KEY_AUTHORS} || '|' || year), 1, 24) END AS work,
+CASE WHEN doi <> '' THEN 'DOI' WHEN {KEY_TITLE} = '' THEN 'PROVISIONAL_FILENAME' ELSE 'METADATA_KEY' END AS status FROM art""")
 def work_identity_hash(spark, sf_dir):
     work, status = identity.identity(F.col("doi"), F.lit(""), F.col("title"), F.col("authors"), F.col("year"))
     return artifacts(spark, sf_dir).select("doc_id", work.alias("work"), status.alias("status"))
@@ -114,46 +162,57 @@ def artifact_locator_hash(spark, sf_dir):
     return artifacts(spark, sf_dir).select("doc_id", identity.locator(F.col("artifact_id"), F.col("content_hash"), F.lit(0), F.char_length("text")).alias("locator_id"))
 
 
-NOTE = "---\ntitle: On Noise\nauthors: [Ann B, Cid D]\nyear: 2020\nother: x\n---\nIntro text.\n# One\nbody 1\n### Deep\nbody 2\n## Two\nbody 3\n# Last\n"
+NOTE = r"'---  \nTitle: ' || title || '\nauthors: [\"' || authors || '\", ' || chr(39) || 'B ' || journal || chr(39) || '] \nyear : ' || year || '\r\nother: x\njournal: old\njournal:  \"' || journal || '\"\n---\nIntro of ' || authors || '.\n# *One* ' || year || '\nbody ' || title || '\n\nmore\n### Deep #\nbody 2\n### Next\n## Two\nbody 3\n#no heading\n# Last\n'"
 
 
-@query("SELECT * FROM (VALUES ('authors', 'Ann B, Cid D'), ('title', 'On Noise'), ('year', '2020')) t(field, value)", art=False)
+@query("SELECT doc_id, unnest(['title', 'authors', 'year', 'journal']) AS field, unnest([title, authors || '; B ' || journal, year, journal]) AS value FROM art")
 def front_matter(spark, sf_dir):
-    return spark.createDataFrame([(NOTE,)], "note string").select(F.explode(text.front_matter(F.col("note"))).alias("field", "value"))
+    """Blocks made of each document's fields: CRLF, blanks after the dashes, lists with quotes, a repeated key."""
+    return artifacts(spark, sf_dir).select("doc_id", F.explode(text.front_matter(F.expr(NOTE))).alias("field", "value"))
 
 
-@query("SELECT * FROM (VALUES ('Document body', 'Intro text.'), ('One', 'body 1'), ('One > Deep', 'body 2'), ('One > Two', 'body 3')) t(section, body)", art=False)
+@query(r"""SELECT doc_id, unnest(['document body', 'One ' || year, 'One ' || year || ' > Deep', 'One ' || year || ' > Two']) AS section,
+unnest(['Intro of ' || authors || '.', 'body ' || title || chr(10) || chr(10) || 'more', 'body 2', 'body 3' || chr(10) || '#no heading']) AS body FROM art""")
 def heading_hierarchy(spark, sf_dir):
-    return spark.createDataFrame([(NOTE,)], "note string").select(F.inline(text.headings(F.col("note"))))
+    """Sections of notes made of each document's fields."""
+    return artifacts(spark, sf_dir).select("doc_id", F.inline(text.headings(F.expr(NOTE))))
 
 
-@query("SELECT * FROM (VALUES (0, 'Introduction'), (1, '2.1 Demand model'), (2, 'Document body')) t(n, section)", art=False)
-def section_guess(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "INTRODUCTION we study"), (1, "2.1 Demand model\nwe"), (2, "the rest")], "n int, t string")
-    return rows.select("n", text.section_of(F.col("t")).alias("section"))
+SECTION_TEXT = "CASE CAST((doc_id + chunk_index) % 8 AS INT) WHEN 0 THEN 'Abstract ' || text WHEN 1 THEN '2. ' || text WHEN 2 THEN ' 3 x' || text WHEN 3 THEN 'RESULT of ' || text WHEN 4 THEN 'online appendix ' || text WHEN 5 THEN 'modelling ' || text WHEN 6 THEN '0. ' || text ELSE text END"
+
+
+def abstract_front(body: str) -> str:
+    return f"'Title' || chr(10) || 'ABSTRACT: ' || {body} || chr(10) || CASE WHEN doc_id % 2 = 0 THEN ' Keywords: x' ELSE '1. Introduction' END || chr(10) || text"
 
 
-ABSTRACT = "We measure how noise in prices changes what buyers learn, with data on many markets over ten years."
+#: The first letters, none to some 5,400 of them, without what could close it.
+ABSTRACT_BODY = "trim(regexp_replace(substr(text, 1, CAST((doc_id * 37) % 5400 AS INT)), '(?i)abstract|[\\\\s]+', ' '{g}))"
 
 
-@query(f"SELECT * FROM (VALUES (0, '{ABSTRACT}'), (1, '')) t(n, abstract)", art=False)
+@query(f"""WITH b AS (SELECT doc_id, {ABSTRACT_BODY.format(g=", 'g'").replace(chr(92) * 2, chr(92))} AS body FROM art) SELECT doc_id, CASE WHEN length(body) BETWEEN 79 AND 5000 THEN body WHEN length(body) = 78 THEN ': ' || body ELSE '' END AS abstract FROM b""")
 def abstract_extract(spark, sf_dir):
-    rows = spark.createDataFrame([(0, f"Title\nAbstract: {ABSTRACT}\nKeywords: noise"), (1, "Abstract: short. Introduction")], "n int, t string")
-    return rows.select("n", text.abstract_of(F.col("t")).alias("abstract"))
+    """Abstracts made of the first letters of each document, before its whole text."""
+    rows = artifacts(spark, sf_dir).withColumn("body", F.expr(ABSTRACT_BODY.format(g="")))
+    return rows.select("doc_id", text.abstract_of(F.expr(abstract_front("body"))).alias("abstract"))
 
 
-@query(r"""SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]+>', '', 'g')) > 0 AS has_text,
-regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages""", art=False)
+STRIPPED_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)</(p|h[1-6]|li|tr|div|w:p|w:tr)>', chr(10) || chr(10), 'g'), '(?i)<w:tab/>', chr(9), 'g'), '<[^>]+>', '', 'g')"
+for _entity, _char in text.ENTITIES.items():
+    STRIPPED_SQL = f"replace({STRIPPED_SQL}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+STRIPPED_SQL = rf"trim(regexp_replace({SPACED(STRIPPED_SQL)}, '\n[ \n]*\n', chr(10) || chr(10), 'g'), E' \t\n\r\x0b\x0c')"
+
+
+@query(rf"""SELECT page_id, sha256({STRIPPED_SQL}) AS text_hash, length({STRIPPED_SQL}) AS n_chars, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages""", art=False)
 def markup_strip(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", (F.char_length(text.strip_markup(F.col("html"))) > 0).alias("has_text"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+    pages = table(spark, sf_dir, "pages").withColumn("text", text.strip_markup(F.col("html")))
+    return pages.select("page_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), F.char_length("text").cast("long").alias("n_chars"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
 
 
 # -- passages
 
-PARAGRAPHS_SQL = r"""
-para AS (SELECT doc_id, list_filter([trim(p, E' \t\n\r\x0b\x0c') FOR p IN string_split_regex(regexp_replace(
-    trim(regexp_replace(replace(replace(text, chr(173), ''), chr(0), ' '), '[ \t\r]+', ' ', 'g'), E' \t\n\r\x0b\x0c'), '\.\s*\n', '.' || chr(57344), 'g'), '\n\s*\n|' || chr(57344))], lambda p: p <> '') AS ps FROM documents),
+PARAGRAPHS_SQL = rf"""
+para AS (SELECT doc_id, list_filter([{SPACED('p')} FOR p IN string_split_regex(regexp_replace(
+    replace(text, chr(13), ''), '\.\s*\n', '.' || chr(57344), 'g'), '\n{{2,}}|' || chr(57344))], lambda p: p <> '') AS ps FROM documents),
 """
 PACKED_SQL = (
     "WITH RECURSIVE "
@@ -162,8 +221,8 @@ PACKED_SQL = (
 fold AS (SELECT doc_id, ps, 1 AS k, '' AS buf, 0 AS start, 0 AS cursor, CAST([] AS STRUCT(a INTEGER, t VARCHAR)[]) AS emitted FROM para
  UNION ALL
  SELECT doc_id, ps, k + 1,
-  CASE WHEN k > len(ps) OR length(ps[k]) > 1400 THEN '' WHEN buf = '' THEN ps[k] WHEN length(buf) + 1 + length(ps[k]) <= 1400 THEN buf || chr(10) || ps[k] ELSE "right"(buf, 220) || chr(10) || ps[k] END,
-  CASE WHEN k > len(ps) THEN start WHEN length(ps[k]) > 1400 THEN cursor + length(ps[k]) + 1 WHEN buf = '' THEN cursor WHEN length(buf) + 1 + length(ps[k]) <= 1400 THEN start ELSE cursor - 1 - length("right"(buf, 220)) END,
+  CASE WHEN k > len(ps) OR length(ps[k]) > 1400 THEN '' WHEN buf = '' THEN ps[k] WHEN length(buf) + 1 + length(ps[k]) <= 1400 THEN buf || ' ' || ps[k] ELSE trim("right"(buf, 220) || ' ' || ps[k], E' \t\n\r\x0b\x0c') END,
+  CASE WHEN k > len(ps) THEN start WHEN length(ps[k]) > 1400 THEN cursor + length(ps[k]) + 1 WHEN buf = '' THEN cursor WHEN length(buf) + 1 + length(ps[k]) <= 1400 THEN start ELSE greatest(cursor - length("right"(buf, 220)), 0) END,
   CASE WHEN k > len(ps) THEN cursor ELSE cursor + length(ps[k]) + 1 END,
   CASE WHEN k > len(ps) THEN (CASE WHEN buf <> '' THEN [{'a': start, 't': buf}] ELSE [] END)
        WHEN length(ps[k]) > 1400 THEN list_concat(CASE WHEN buf <> '' THEN [{'a': start, 't': buf}] ELSE [] END,
@@ -199,28 +258,44 @@ def inspect_context(spark, sf_dir):
 
 # -- works
 
-RANKED = "CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 2 END"
+RANKED = "CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END"
+VERSION = "CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 3 END"
 
 
-@query(f"SELECT paper_id, artifact_id FROM art QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY {RANKED} DESC, doc_id % 2, artifact_kind = 'PRIMARY_PDF' DESC, source_rel, artifact_id) = 1")
+@query(f"SELECT paper_id, artifact_id FROM art QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY {RANKED} DESC, doc_id % 4 = 0 DESC, {VERSION} DESC, artifact_kind = 'PRIMARY_PDF' DESC, source_rel, artifact_id) = 1")
 def work_canonical_artifact(spark, sf_dir):
     return works.canonical(artifacts(spark, sf_dir))
 
 
-FIELDS_SQL = """WITH long AS (SELECT paper_id, artifact_id, source_rel, artifact_kind = 'PRIMARY_PDF' AS prim, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 3 END AS version, u.field, u.value, u.trust, u.origin
- FROM art, LATERAL (SELECT unnest([{'field': 'title', 'value': title, 'trust': 5, 'origin': 'document'}, {'field': 'authors', 'value': authors, 'trust': CASE WHEN doc_id % 2 = 1 THEN 4 ELSE 2 END, 'origin': CASE WHEN doc_id % 2 = 1 THEN 'embedded' ELSE 'filename' END},
-  {'field': 'year', 'value': year, 'trust': 4, 'origin': 'embedded'}, {'field': 'journal', 'value': journal, 'trust': 6, 'origin': 'manifest'}, {'field': 'doi', 'value': doi, 'trust': 5, 'origin': 'document'}]) AS u) WHERE u.value <> '')"""
+FIELDS_SQL = f"""long AS (SELECT paper_id, artifact_id, source_rel, doc_id % 4 = 0 AS manifest, artifact_kind = 'PRIMARY_PDF' AS prim, {VERSION} AS version, u.field, u.value, u.trust, u.origin
+ FROM @, LATERAL (SELECT unnest([{{'field': 'title', 'value': title, 'trust': 5, 'origin': 'SOURCE_FRONT_MATTER'}}, {{'field': 'authors', 'value': authors, 'trust': CASE WHEN doc_id % 2 = 1 THEN 3 ELSE 1 END, 'origin': CASE WHEN doc_id % 2 = 1 THEN 'PDF_DOCUMENT_METADATA' ELSE 'FILENAME_FALLBACK' END}},
+  {{'field': 'year', 'value': year, 'trust': 4, 'origin': 'MARKDOWN_FRONTMATTER'}}, {{'field': 'journal', 'value': journal, 'trust': 6, 'origin': 'MANIFEST'}}, {{'field': 'doi', 'value': doi, 'trust': 5, 'origin': 'SOURCE_FRONT_MATTER'}}]) AS u) WHERE u.value <> ''),
+chosen AS (SELECT paper_id, field, value, origin FROM long QUALIFY row_number() OVER (PARTITION BY paper_id, field ORDER BY trust DESC, manifest DESC, prim DESC, version DESC, source_rel, artifact_id) = 1)"""
+CHOSEN_SQL = FIELDS_SQL.replace("@", "art")
 
 
-@query(FIELDS_SQL + ' SELECT paper_id, field, value, origin FROM long QUALIFY row_number() OVER (PARTITION BY paper_id, field ORDER BY trust DESC, prim DESC, version DESC, source_rel, artifact_id) = 1')
+@query(f"WITH {CHOSEN_SQL} SELECT * FROM chosen")
 def work_field_cascade(spark, sf_dir):
     return works.cascade(artifacts(spark, sf_dir))
 
 
-@query(FIELDS_SQL + r""", top AS (SELECT *, max(trust) OVER (PARTITION BY paper_id, field) AS best FROM long), o AS (SELECT paper_id, field, list_sort(list_distinct(list(trim(regexp_replace(value, '\s+', ' ', 'g'))))) AS o FROM top WHERE trust = best AND trust >= 4 GROUP BY ALL)
-SELECT paper_id, field, array_to_string(o, ' | ') AS options FROM o WHERE len(o) > 1""")
+EIGHT = "'work:' || (doc_id - doc_id % 8)"
+CONFLICT_SQL = f"""eight AS (SELECT * REPLACE ({EIGHT} AS paper_id) FROM art), {FIELDS_SQL.replace('@', 'eight')}, best AS (SELECT *, {{'a': trust, 'b': manifest, 'c': prim, 'd': version}} AS r, max({{'a': trust, 'b': manifest, 'c': prim, 'd': version}}) OVER (PARTITION BY paper_id, field) AS top FROM long),
+o AS (SELECT paper_id, field, list_sort(list_distinct(list({SPACED('value')}))) AS o FROM best WHERE r = top AND trust >= 3 GROUP BY ALL), apart AS (SELECT paper_id, field, array_to_string(o, ' | ') AS options FROM o WHERE len(o) > 1)"""
+
+
+@query(f"WITH {CONFLICT_SQL} SELECT * FROM apart")
 def work_conflicts(spark, sf_dir):
-    return works.conflicts(artifacts(spark, sf_dir))
+    """Eight documents to a work, so that some tie in all ranks."""
+    return works.conflicts(artifacts(spark, sf_dir).withColumn("paper_id", F.expr(EIGHT)))
+
+
+WORKS_SQL = f"""{CHOSEN_SQL}, fields AS (SELECT paper_id, {', '.join(f"coalesce(max(value) FILTER (field = '{f}'), '') AS {f}" for f in works.FIELDS)}, string_agg(field || '=' || origin, ';' ORDER BY field) AS told FROM chosen GROUP BY paper_id),
+best AS (SELECT paper_id, identity_status FROM art QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY {RANKED} DESC, doc_id % 4 = 0 DESC, {VERSION} DESC, artifact_kind = 'PRIMARY_PDF' DESC, source_rel, artifact_id) = 1),
+hashes AS (SELECT paper_id, count(*) AS n_artifacts, string_agg(DISTINCT content_hash, chr(10) ORDER BY content_hash) AS all_hashes, string_agg(DISTINCT content_hash, chr(10) ORDER BY content_hash) FILTER (role IN {SEARCHED} AND root_role <> 'PROCESS') AS live_hashes FROM art GROUP BY paper_id),
+w AS (SELECT paper_id, n_artifacts, live_hashes IS NOT NULL AS searched, sha256(all_hashes) AS content_fingerprint,
+ sha256(concat_ws(chr(31), paper_id, identity_status, title, authors, year, journal, doi, told, '')) AS bibliography_fingerprint,
+ sha256(concat_ws(chr(31), paper_id, title, authors, year, journal, doi, keywords, sha256(coalesce(live_hashes, '')))) AS retrieval_fingerprint FROM hashes JOIN fields USING (paper_id) JOIN best USING (paper_id))"""
 
 
 @query("WITH p AS (SELECT content_hash, list_sort(list_distinct(list(paper_id))) AS p FROM art GROUP BY 1) SELECT content_hash, array_to_string(p, ',') AS papers FROM p WHERE len(p) > 1")
@@ -228,16 +303,15 @@ def duplicate_content_conflict(spark, sf_dir):
     return works.duplicate_contents(artifacts(spark, sf_dir))
 
 
-@query("SELECT paper_id, sha256(array_to_string(list_sort(list_distinct(list(content_hash))), chr(10))) AS content_fingerprint, count(*) AS n_artifacts FROM art GROUP BY paper_id")
+@query(f"WITH {WORKS_SQL} SELECT paper_id, content_fingerprint, bibliography_fingerprint, retrieval_fingerprint, n_artifacts FROM w")
 def work_fingerprints(spark, sf_dir):
-    return works.works(artifacts(spark, sf_dir)).select("paper_id", "content_fingerprint", "n_artifacts")
+    return works.works(artifacts(spark, sf_dir)).select("paper_id", "content_fingerprint", "bibliography_fingerprint", "retrieval_fingerprint", "n_artifacts")
 
 
-@query("WITH w AS (SELECT paper_id, sha256(array_to_string(list_sort(list_distinct(list(content_hash))), chr(10))) AS f FROM art GROUP BY paper_id) SELECT sha256(string_agg(paper_id || ':' || f, chr(10) ORDER BY paper_id || ':' || f)) AS source_fingerprint FROM w")
+@query(f"""WITH {WORKS_SQL}, x AS (SELECT 'source' AS kind, paper_id || ':' || content_fingerprint AS x FROM w UNION SELECT 'coverage', paper_id FROM w WHERE searched UNION SELECT 'ranking', retrieval_fingerprint FROM w WHERE searched),
+parts AS (SELECT kind, substr(sha256(x), 1, 3) AS part, sha256(string_agg(x, chr(10) ORDER BY x)) AS d FROM x GROUP BY ALL) SELECT kind, sha256(string_agg(part || ':' || d, chr(10) ORDER BY part)) AS fingerprint FROM parts GROUP BY kind""")
 def corpus_fingerprints(spark, sf_dir):
-    # The digests of works by hash range first, so that no task gathers all works' strings; equal to the plain digest at this size.
-    w = works.works(artifacts(spark, sf_dir)).select(F.concat("paper_id", F.lit(":"), "content_fingerprint").alias("x"))
-    return w.agg(identity.set_print(F.col("x")).alias("source_fingerprint"))
+    return works.corpus_prints(works.works(artifacts(spark, sf_dir)))
 
 
 @query("""WITH w AS (SELECT paper_id, max(role IN """ + SEARCHED + """) AS live FROM art GROUP BY 1) SELECT (SELECT count(*) FROM art) AS artifacts, (SELECT count(*) FROM w) AS works, (SELECT count(*) FROM art WHERE doi = '') AS without_doi, (SELECT count(*) FROM w WHERE NOT live) AS hidden_works""")
@@ -277,7 +351,7 @@ def title_lookup(spark, sf_dir):
 
 # -- retrieval
 
-TOK = lambda c: f"regexp_extract_all(lower(translate(coalesce({c}, ''), '{ACCENTED}', '{PLAIN}')), " + r"'[\p{L}\p{N}\p{M}\p{Co}]+')"
+TOK = lambda c: f"regexp_extract_all(lower(regexp_replace(translate(coalesce({c}, ''), '{ACCENTED}', '{PLAIN}'), '[\\x{{0300}}-\\x{{036F}}]', '', 'g')), " + r"'[\p{L}\p{N}\p{M}\p{Co}]+')"
 
 
 def bm25_sql(rows: str, key: str, cols: dict[str, float], phrases: list[list[str]], mode: str) -> str:
@@ -303,7 +377,7 @@ TOP = f"SELECT paper_id, round(score, 6) + 0.0 AS score FROM scored WHERE paper_
 
 def work_search(spark: SparkSession, sf_dir: str, node) -> DataFrame:
     rows = work_rows(spark, sf_dir)
-    scored = retrieval.bm25(retrieval.Index.of(rows, "paper_id", ["title", "text"]), node, WEIGHTS).withColumnRenamed("id", "paper_id")
+    scored = retrieval.bm25_rows(rows, "paper_id", node, WEIGHTS).withColumnRenamed("id", "paper_id")
     return searchable(scored, artifacts(spark, sf_dir)).select("paper_id", F.round("score", 6).alias("score"))
 
 
@@ -330,41 +404,60 @@ def bm25_phrase(spark, sf_dir):
 @query(f"WITH {WORK_SQL}, tk AS (SELECT paper_id, {TOK('title')} AS title, {TOK('text')} AS text FROM wk) SELECT paper_id FROM tk WHERE list_contains(title, 'the') AND len([t FOR t IN text IF t LIKE 'lice%']) + len([t FOR t IN title IF t LIKE 'lice%']) > 0 AND NOT (list_contains(text, 'was') OR list_contains(title, 'was'))")
 def raw_boolean(spark, sf_dir):
     rows = work_rows(spark, sf_dir)
-    return retrieval.bm25(retrieval.Index.of(rows, "paper_id", ["title", "text"]), q.raw("title:the AND (lice* NOT was)"), WEIGHTS).select(F.col("id").alias("paper_id"))
+    return retrieval.bm25_rows(rows, "paper_id", q.raw("title:the AND (lice* NOT was)"), WEIGHTS).select(F.col("id").alias("paper_id"))
+
+
+@query(f"WITH {WORK_SQL}, tk AS (SELECT paper_id, {TOK('title')} AS title, {TOK('text')} AS text FROM wk) SELECT paper_id FROM tk WHERE len([i FOR i IN range(1, len(text) + 1) IF text[i] = 'of' AND text[i + 1] = 'the']) > 0 AND (title[1] LIKE 'th%' OR text[1] LIKE 'th%')")
+def raw_columns(spark, sf_dir):
+    return retrieval.bm25_rows(work_rows(spark, sf_dir), "paper_id", q.raw('{text}: of + "the" AND ^th*'), WEIGHTS).select(F.col("id").alias("paper_id"))
 
 
-@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({TOK('text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 5", art=False)
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({TOK('text')}) AS term FROM documents) GROUP BY term", art=False)
 def term_statistics(spark, sf_dir):
-    index = retrieval.Index.of(table(spark, sf_dir, "documents"), "doc_id", ["text"])
-    return index.postings.groupBy("term").agg(F.countDistinct("id").alias("df"), F.sum(F.size("places")).alias("n")).filter("n >= 5")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
+    return words.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
 
 
-CHUNKS_SQL = PACKED_SQL.replace("WITH RECURSIVE ", "") + PACKED_END + ", ck AS (SELECT c.*, 'work:' || (c.doc_id - c.doc_id % 2) AS paper_id, 'loc:' || substr(sha256(a.artifact_id || '|' || a.content_hash || '|' || c.char_start || '|' || c.char_end || '|' || c.text), 1, 32) AS id, a.role FROM chunk c JOIN art a USING (doc_id))"
-BEST_SQL = f"{CHUNKS_SQL}, {bm25_sql('ck', 'id', {'text': 1.0}, [['that'], ['was']], 'any')}, s2 AS (SELECT DISTINCT ck.paper_id, id, round(score, 6) + 0.0 AS score FROM scored JOIN ck USING (id) WHERE role IN {SEARCHED})"
+CHUNKS_SQL = PACKED_SQL.replace("WITH RECURSIVE ", "") + PACKED_END + ", ck AS (SELECT c.*, 'work:' || (c.doc_id - c.doc_id % 2) AS paper_id, 'loc:' || substr(sha256(a.artifact_id || '|' || a.content_hash || '|' || c.char_start || '|' || c.char_end || '|' || c.text), 1, 32) AS id, a.role, CASE a.artifact_kind WHEN 'PRIMARY_PDF' THEN 0 ELSE 4 END AS kind FROM chunk c JOIN art a USING (doc_id))"
+BEST_SQL = f"{CHUNKS_SQL}, {bm25_sql('ck', 'id', {'text': 1.0}, [['that'], ['was']], 'any')}, s2 AS (SELECT DISTINCT ck.paper_id, id, kind, round(score, 6) + 0.0 AS score FROM scored JOIN ck USING (id) WHERE role IN {SEARCHED})"
 
 
 def scored_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
-    scored = retrieval.bm25(retrieval.Index.of(c, "id", ["text"]), q.safe("that was", "any"), {"text": 1.0})
-    live = c.filter(F.col("role").isin(identity.SEARCHED_ROLES)).select("id", "paper_id")
-    return scored.join(live, "id").select("paper_id", "id", F.round("score", 6).alias("score"))
+    scored = retrieval.bm25_rows(chunks(spark, sf_dir), "id", q.safe("that was", "any"), {"text": 1.0}, ("paper_id", "role", "artifact_kind"))
+    live = scored.filter(F.col("role").isin(identity.SEARCHED_ROLES))
+    return live.select("paper_id", "id", identity.kind_order(F.col("artifact_kind")).alias("kind_order"), F.round("score", 6).alias("score"))
+
+
+SECTION_SQL = lambda c: f"coalesce(nullif(trim(substr(regexp_extract(substr({SPACED(c)}, 1, 180), '(?i)^(?:{'|'.join(SECTIONS)})'), 1, 120), E' \\t\\n\\r\\x0b\\x0c'), ''), 'document body')"
 
 
 def recursive(sql: str) -> str:
     return "WITH RECURSIVE " + ARTIFACTS_SQL.strip() + ", " + sql
 
 
-@query(recursive(BEST_SQL + " SELECT paper_id, id, score FROM s2 QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY score, id) <= 2"), art=False)
+@query(recursive(f"{CHUNKS_SQL} SELECT doc_id, chunk_index, {SECTION_SQL(SECTION_TEXT.replace(' AS INT', ' AS INTEGER'))} AS section FROM ck"), art=False)
+def section_guess(spark, sf_dir):
+    """All passages, with eight kinds of beginnings."""
+    return chunks(spark, sf_dir).select("doc_id", "chunk_index", text.section_of(F.expr(SECTION_TEXT)).alias("section"))
+
+
+@query(recursive(f"{CHUNKS_SQL}, sec AS (SELECT paper_id, source_rel, chunk_index, {SECTION_SQL(SECTION_TEXT.replace(' AS INT', ' AS INTEGER'))} AS section FROM (SELECT ck.*, a.source_rel, a.root_role FROM ck JOIN art a USING (doc_id)) WHERE root_role <> 'PROCESS'), firsts AS (SELECT paper_id, section, min({{'a': source_rel, 'b': chunk_index}}) AS place FROM sec WHERE section <> 'document body' GROUP BY ALL) SELECT paper_id, string_agg(section, '; ' ORDER BY place, section) AS headings FROM firsts GROUP BY paper_id"), art=False)
+def work_headings(spark, sf_dir):
+    rows = chunks(spark, sf_dir).filter("root_role <> 'PROCESS'").withColumn("section", text.section_of(F.expr(SECTION_TEXT)))
+    return works.headings(rows.select("paper_id", "section", F.struct("source_rel", "chunk_index").alias("place")))
+
+
+@query(recursive(BEST_SQL + " SELECT paper_id, id, score FROM s2 QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY score, kind, id) <= 2"), art=False)
 def passage_best_per_work(spark, sf_dir):
     return retrieval.best_per_work(scored_passages(spark, sf_dir), 2).select("paper_id", "id", "score")
 
 
-@query(recursive(BEST_SQL + ", b AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY score, id) = 1), r AS (SELECT *, row_number() OVER (ORDER BY score, id) AS rank FROM b) SELECT paper_id, id, rank, round(1.0 / (60 + rank), 9) AS rescue_score FROM r WHERE rank <= 100"), art=False)
+@query(recursive(BEST_SQL + ", b AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY score, kind, id) = 1), r AS (SELECT *, row_number() OVER (ORDER BY score, id) AS rank FROM b) SELECT paper_id, id, rank, round(1.0 / (60 + rank), 9) AS rescue_score FROM r WHERE rank <= 1000"), art=False)
 def fulltext_rescue(spark, sf_dir):
-    return retrieval.rescue(scored_passages(spark, sf_dir), 100).select("paper_id", "id", "rank", F.round("rescue_score", 9).alias("rescue_score"))
+    return retrieval.rescue(scored_passages(spark, sf_dir), POOL).select("paper_id", "id", "rank", F.round("rescue_score", 9).alias("rescue_score"))
 
 
-@query(recursive(BEST_SQL + """, p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score, id) AS place FROM s2), two AS (SELECT paper_id, 1 AS branch, place, id AS locator FROM p WHERE place <= 3 UNION ALL SELECT paper_id, 2, place - 1, id FROM p WHERE place BETWEEN 2 AND 4),
+@query(recursive(BEST_SQL + """, p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score, kind, id) AS place FROM s2), two AS (SELECT paper_id, 1 AS branch, place, id AS locator FROM p WHERE place <= 3 UNION ALL SELECT paper_id, 2, place - 1, id FROM p WHERE place BETWEEN 2 AND 4),
 o AS (SELECT paper_id, locator, min({'place': place, 'branch': branch}) AS s FROM two GROUP BY 1, 2), n AS (SELECT paper_id, locator, row_number() OVER (PARTITION BY paper_id ORDER BY s.place, s.branch, locator) AS slot FROM o) SELECT * FROM n WHERE slot <= 2"""), art=False)
 def round_robin_passages(spark, sf_dir):
     p = retrieval.best_per_work(scored_passages(spark, sf_dir), 4)
@@ -394,9 +487,9 @@ def semantic_filtered(spark, sf_dir):
 
 
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lexical branches and a semantic arm, fifty ranks each."""
-    a = [retrieval.ranked(work_search(spark, sf_dir, q.safe(w, "any")), F.col("score"), F.col("paper_id"), limit=50).select(F.lit(i).alias("arm"), "paper_id", "rank") for i, w in enumerate((WORDS, "that was"))]
-    s = retrieval.ranked(semantic_filtered(spark, sf_dir), F.desc("score"), F.col("paper_id"), limit=50).select(F.lit(2).alias("arm"), "paper_id", "rank")
+    """Two lexical branches and a semantic arm."""
+    a = [retrieval.ranked(work_search(spark, sf_dir, q.safe(w, "any")), F.col("score"), F.col("paper_id"), limit=ARM).select(F.lit(i).alias("arm"), "paper_id", "rank") for i, w in enumerate((WORDS, "that was"))]
+    s = retrieval.ranked(semantic_filtered(spark, sf_dir), F.desc("score"), F.col("paper_id"), limit=ARM).select(F.lit(2).alias("arm"), "paper_id", "rank")
     return a[0].unionByName(a[1]).unionByName(s)
 
 
@@ -408,18 +501,18 @@ def arm_sql(i: int, words: list[str]) -> str:
     return inner + f", arm{i} AS (SELECT {i} AS arm, paper_id, row_number() OVER (ORDER BY round(score, 6), paper_id) AS rank FROM scored{i} WHERE paper_id IN (SELECT paper_id FROM art WHERE role IN {SEARCHED}))"
 
 
-ARMS_SQL = f"WITH {WORK_SQL}, {arm_sql(0, WORDS.split())}, {arm_sql(1, ['that', 'was'])}, {COSINE_SQL}, sem AS (SELECT paper_id, max(score) AS score FROM c JOIN art ON vec_id = doc_id WHERE role IN {SEARCHED} GROUP BY paper_id), arm2 AS (SELECT 2 AS arm, paper_id, row_number() OVER (ORDER BY score DESC, paper_id) AS rank FROM sem), arms AS (SELECT * FROM arm0 WHERE rank <= 50 UNION ALL SELECT * FROM arm1 WHERE rank <= 50 UNION ALL SELECT * FROM arm2 WHERE rank <= 50)"
+ARMS_SQL = f"WITH {WORK_SQL}, {arm_sql(0, WORDS.split())}, {arm_sql(1, ['that', 'was'])}, {COSINE_SQL}, sem AS (SELECT paper_id, max(score) AS score FROM c JOIN art ON vec_id = doc_id WHERE role IN {SEARCHED} GROUP BY paper_id), arm2 AS (SELECT 2 AS arm, paper_id, row_number() OVER (ORDER BY score DESC, paper_id) AS rank FROM sem), arms AS (SELECT * FROM arm0 WHERE rank <= {ARM} UNION ALL SELECT * FROM arm1 WHERE rank <= {ARM} UNION ALL SELECT * FROM arm2 WHERE rank <= {ARM})"
 FUSED_SQL = "fused AS (SELECT paper_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS fs, min({'arm': arm, 'rank': rank}) AS first FROM arms GROUP BY paper_id), ranked AS (SELECT paper_id, fs, row_number() OVER (ORDER BY fs DESC, first, paper_id) AS rank FROM fused)"
 
 
 @query(f"{ARMS_SQL}, {FUSED_SQL} SELECT paper_id, round(fs, 9) AS fusion_score, rank FROM ranked WHERE rank <= 30")
 def hybrid_search(spark, sf_dir):
-    return retrieval.fuse(arms(spark, sf_dir), 30).select("paper_id", F.round("fusion_score", 9).alias("fusion_score"), "rank")
+    return retrieval.fuse(arms(spark, sf_dir), FUSED).select("paper_id", F.round("fusion_score", 9).alias("fusion_score"), "rank")
 
 
-@query(f"{ARMS_SQL.replace('UNION ALL SELECT * FROM arm2 WHERE rank <= 50', '')}, {FUSED_SQL} SELECT paper_id, round(fs, 9) AS fusion_score, rank FROM ranked WHERE rank <= 30")
+@query(f"{ARMS_SQL.replace(f'UNION ALL SELECT * FROM arm2 WHERE rank <= {ARM}', '')}, {FUSED_SQL} SELECT paper_id, round(fs, 9) AS fusion_score, rank FROM ranked WHERE rank <= 30")
 def multi_branch_search(spark, sf_dir):
-    return retrieval.fuse(arms(spark, sf_dir).filter("arm < 2"), 30).select("paper_id", F.round("fusion_score", 9).alias("fusion_score"), "rank")
+    return retrieval.fuse(arms(spark, sf_dir).filter("arm < 2"), FUSED).select("paper_id", F.round("fusion_score", 9).alias("fusion_score"), "rank")
 
 
 @query("WITH arms AS (SELECT 0 AS arm, paper_id, row_number() OVER (ORDER BY paper_id) AS rank FROM (SELECT DISTINCT paper_id FROM art WHERE journal = 'Journal A') UNION ALL SELECT 1, paper_id, row_number() OVER (ORDER BY paper_id DESC) FROM (SELECT DISTINCT paper_id FROM art WHERE year > '2010')), " + FUSED_SQL + " SELECT paper_id, round(fs, 9) AS fusion_score FROM ranked")
@@ -450,10 +543,13 @@ def recall_at_k(spark, sf_dir):
     return evaluation.recall(evaluation.hits_at(ranks, good, 50))
 
 
-@query(f"WITH {BENCH_SQL}, {HITS_SQL.format(t='good')} SELECT * FROM goodh")
+@query(f"WITH {BENCH_SQL}, worded AS (SELECT query_id, doc_id % 3 AS formulation, paper_id, row_number() OVER (PARTITION BY query_id, doc_id % 3 ORDER BY content_hash, doc_id) AS rank FROM (SELECT *, 'q' || doc_id % 5 AS query_id FROM art)), found AS (SELECT DISTINCT query_id, formulation, paper_id, 1 AS hit FROM worded WHERE rank <= 50) SELECT query_id, formulation, round(count(hit) / count(*), 6) AS recall FROM (SELECT DISTINCT query_id, formulation FROM worded) JOIN good USING (query_id) LEFT JOIN found USING (query_id, formulation, paper_id) GROUP BY ALL")
 def formulation_recall(spark, sf_dir):
-    ranks, good, _ = judged(spark, sf_dir)
-    return evaluation.hits_at(ranks, good, 50)
+    """Three wordings to a query, each with a ranking of its own."""
+    _, good, _ = judged(spark, sf_dir)
+    a = artifacts(spark, sf_dir).withColumns({"query_id": F.concat(F.lit("q"), F.col("doc_id") % 5), "formulation": F.col("doc_id") % 3})
+    ranks = a.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "formulation").orderBy("content_hash", "doc_id"))).select("query_id", "formulation", "paper_id", "rank")
+    return evaluation.formulation_recall(ranks, good, 50)
 
 
 @query(f"WITH {BENCH_SQL}, {HITS_SQL.format(t='bad')} SELECT round(sum(n_hits) / nullif(sum(n_relevant), 0), 6) AS rate FROM badh")
@@ -471,7 +567,7 @@ def missed_relevant(spark, sf_dir):
 @query("SELECT event_type, list_sort(list(value))[CAST(ceil(count(value) * 0.95) AS INTEGER)] AS p95, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type", art=False)
 def latency_p95(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("value IS NOT NULL")
-    return e.groupBy("event_type").agg(evaluation.nearest_rank(F.col("value"), 0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+    return e.groupBy("event_type").agg(evaluation.nearest_rank("value", 0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 # -- synchronization, ledger, profile
@@ -511,34 +607,42 @@ def removed_artifacts(spark, sf_dir):
 
 
 def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An old recording for each document whose id is divisible by three; some hashes and prints have changed since."""
-    a = artifacts(spark, sf_dir).filter("doc_id % 3 = 0")
+    """An old recording for each document; some locators, contents, bindings and prints have changed since, some prints were never taken."""
+    a, n = artifacts(spark, sf_dir), F.col("doc_id")
+    place = F.when(n % 17 == 0, "loc:gone").otherwise(identity.locator(F.col("artifact_id")))
     return a.select(
-        identity.locator(F.col("artifact_id")).alias("locator_id"), "paper_id",
+        place.alias("locator_id"), F.when(n % 11 == 0, "work:other").otherwise(F.col("paper_id")).alias("paper_id"), F.when(n % 13 == 0, "other").otherwise(F.col("artifact_id")).alias("artifact_id"),
         ledger.evidence_id(F.lit("c1"), F.col("paper_id"), identity.locator(F.col("artifact_id"))).alias("evidence_id"),
-        F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("content_hash")).alias("source_hash"),
-        F.when(F.col("doc_id") % 4 == 0, "old").otherwise(F.col("year")).alias("bibliography_fingerprint"), F.col("doc_id").alias("verified_at"),
+        F.when(n % 5 == 0, "old").otherwise(F.col("content_hash")).alias("source_hash"),
+        F.when(n % 4 == 0, "old").when(n % 7 != 0, F.col("year")).alias("bibliography_fingerprint"), n.alias("verified_at"),
     )
 
 
 LOC_SQL = "'loc:' || substr(sha256(artifact_id), 1, 32)"
 
 
-@query(f"""WITH l AS (SELECT doc_id, paper_id, {LOC_SQL} AS loc FROM art WHERE doc_id % 3 = 0), w AS (SELECT paper_id, min(year) AS y FROM art WHERE doc_id % 2 = 0 GROUP BY 1)
-SELECT 'ev:' || substr(sha256('c1|' || l.paper_id || '|' || l.loc), 1, 32) AS evidence_id, CASE WHEN l.doc_id % 5 = 0 THEN 'SOURCE_STALE' WHEN l.doc_id % 4 = 0 OR w.y <> CAST(2000 + l.doc_id % 25 AS VARCHAR) THEN 'BIBLIOGRAPHY_STALE' ELSE 'CURRENT' END AS status FROM l JOIN w USING (paper_id)""")
+@query(f"""WITH w AS (SELECT paper_id, min(year) AS y FROM art WHERE doc_id % 2 = 0 GROUP BY 1)
+SELECT 'ev:' || substr(sha256('c1|' || art.paper_id || '|' || {LOC_SQL}), 1, 32) AS evidence_id, CASE WHEN doc_id % 17 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 5 = 0 THEN 'SOURCE_STALE' WHEN doc_id % 4 = 0 OR doc_id % 7 = 0 OR y IS DISTINCT FROM year THEN 'BIBLIOGRAPHY_STALE' ELSE 'CURRENT' END AS status FROM art LEFT JOIN w USING (paper_id)""")
 def citation_audit(spark, sf_dir):
     a = artifacts(spark, sf_dir)
-    p = a.select(identity.locator(F.col("artifact_id")).alias("locator_id"), F.col("content_hash").alias("source_hash"))
+    p = a.select(identity.locator(F.col("artifact_id")).alias("locator_id"), F.col("content_hash").alias("source_hash"), "paper_id", "artifact_id")
     w = a.filter("doc_id % 2 = 0").groupBy("paper_id").agg(F.min("year").alias("bibliography_fingerprint"))
     return ledger.audit(ledger_rows(spark, sf_dir), p, w)
 
 
-@query("SELECT paper_id, true AS identity_accepted, '' AS missing, CASE WHEN doc_id % 2 = 1 THEN 'authors,year' ELSE 'authors,year' END AS weak FROM art WHERE doc_id % 2 = 0 AND title <> '' UNION ALL SELECT paper_id, true, 'title', 'authors,year' FROM art WHERE doc_id % 2 = 0 AND title = ''")
+@query("""SELECT 'doc:' || doc_id AS paper_id, doc_id % 9 <> 0 AND doc_id % 10 <> 0 AS identity_accepted, CASE WHEN title = '' THEN 'title' ELSE '' END AS missing,
+CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'authors,year' END AS weak, title <> '' AS complete, title <> '' AND doc_id % 6 = 0 AS "true" FROM art""")
 def citation_preflight(spark, sf_dir):
-    return ledger.preflight(artifacts(spark, sf_dir).filter("doc_id % 2 = 0").withColumn("identity_conflict", F.lit("")))
+    """Each artifact as a work of its own; some identities are provisional or in conflict, some fields vouched for."""
+    a, n = artifacts(spark, sf_dir), F.col("doc_id")
+    vouched = F.create_map(*(F.lit(x) for f in ledger.SHOWN for x in (f, "MANIFEST")))
+    return ledger.preflight(a.withColumns({
+        "paper_id": F.concat(F.lit("doc:"), n), "identity_status": F.when(n % 9 == 0, "PROVISIONAL_FILENAME").otherwise(F.col("identity_status")),
+        "identity_conflict": F.when(n % 10 == 0, "x").otherwise(""), "metadata_provenance": F.when(n % 6 == 0, vouched).otherwise(F.col("metadata_provenance")),
+    }))
 
 
-@query(f"WITH l AS (SELECT 'ev:' || substr(sha256('c1|' || paper_id || '|' || {LOC_SQL}), 1, 32) AS evidence_id, doc_id FROM art WHERE doc_id % 3 = 0) SELECT evidence_id, CASE WHEN doc_id % 2 = 0 THEN doc_id + 1000 ELSE doc_id END AS verified_at FROM l")
+@query(f"WITH l AS (SELECT 'ev:' || substr(sha256('c1|' || paper_id || '|' || {LOC_SQL}), 1, 32) AS evidence_id, doc_id FROM art) SELECT evidence_id, CASE WHEN doc_id % 2 = 0 THEN doc_id + 1000 ELSE doc_id END AS verified_at FROM l")
 def ledger_upsert(spark, sf_dir):
     rows = ledger_rows(spark, sf_dir)
     fresh = rows.filter("verified_at % 2 = 0").withColumn("verified_at", F.col("verified_at") + 1000)
@@ -551,9 +655,9 @@ def profile_audit(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("source").alias("code")).distinct().join(F.broadcast(known), "code", "left_anti")
 
 
-@query("SELECT a.doc_id, coalesce(m.role, a.role) AS role, m.role IS NOT NULL AS ruled FROM art a LEFT JOIN (VALUES ('src1', 'OTHER'), ('src2', 'CORRECTION')) m(source, role) ON a.source = m.source")
+@query("SELECT a.doc_id, coalesce(m.role, a.role) AS role, m.role IS NOT NULL AS ruled FROM art a LEFT JOIN (VALUES ('src1', 'OTHER'), ('src2', 'COMMENT_CORRECTION')) m(source, role) ON a.source = m.source")
 def profile_join(spark, sf_dir):
-    rules = spark.createDataFrame([("src1", "OTHER"), ("src2", "CORRECTION")], "source string, ruled_role string")
+    rules = spark.createDataFrame([("src1", "OTHER"), ("src2", "COMMENT_CORRECTION")], "source string, ruled_role string")
     return artifacts(spark, sf_dir).join(F.broadcast(rules), "source", "left").select("doc_id", F.coalesce("ruled_role", "role").alias("role"), F.col("ruled_role").isNotNull().alias("ruled"))
 
 
@@ -572,12 +676,24 @@ def manifest_export(spark, sf_dir):
 
 
 def companion_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All appendix files against all other artifacts but process files."""
+    """All appendix files against all other artifacts but process files; files are named by their titles, folders by the first word."""
     a, appendix = artifacts(spark, sf_dir), F.col("artifact_kind") == "APPENDIX_FILE"
-    named = [F.col("source").alias("directory"), F.concat(F.lit("file "), "doc_id").alias("stem"), "title"]
+    stem = F.concat("title", F.when(appendix, "_online appendix").otherwise(""))
+    named = [F.substring_index("title", " ", 1).alias("directory"), stem.alias("stem"), "title"]
     return a.filter(appendix).select("artifact_id", *named), a.filter(~appendix & (F.col("root_role") != "PROCESS")).select("paper_id", *named)
 
 
+IN_COMMON = lambda c: f"(length(a.{c}) + length(b.{c}) = 0 OR 2 * coalesce(list_sum([least(length(a.{c}) - length(replace(a.{c}, x, '')), length(b.{c}) - length(replace(b.{c}, x, ''))) FOR x IN list_distinct(string_split(a.{c}, ''))]), 0) >= 0.9 * (length(a.{c}) + length(b.{c})))"
+
+
+@query(f"""WITH s AS (SELECT artifact_id, paper_id, artifact_kind, root_role, source, title, title || CASE WHEN artifact_kind = 'APPENDIX_FILE' THEN '_online appendix' ELSE '' END AS stem FROM art),
+k AS (SELECT *, {WORK_KEY_SQL} AS stem_key, {KEY_TITLE} AS title_key FROM s)
+SELECT a.artifact_id, b.paper_id, a.title_key AS candidate, b.title_key AS target FROM k a JOIN k b ON lower(string_split(a.title, ' ')[1]) = lower(string_split(b.title, ' ')[1]) WHERE a.artifact_kind = 'APPENDIX_FILE' AND b.artifact_kind <> 'APPENDIX_FILE' AND b.root_role <> 'PROCESS' AND {IN_COMMON('title_key')} AND {IN_COMMON('stem_key')}""")
+def companion_blocking(spark, sf_dir):
+    """The pairs that are left to be scored."""
+    return works.companion_blocks(*companion_sides(spark, sf_dir)).select("a.artifact_id", "b.paper_id", F.col("a.title_key").alias("candidate"), F.col("b.title_key").alias("target"))
+
+
 @query()
 def companion_suggestions(spark, sf_dir):
     return works.companions(*companion_sides(spark, sf_dir))

@@ -24,16 +24,17 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(process, "PROCESS").otherwise("PAPER").alias("root_role"),
         four("PROCESS_EVIDENCE", "OTHER", "ONLINE_APPENDIX", "MAIN_ARTICLE").alias("role"),
         four("PROCESS_FILE", "REPLICATION_PACKAGE", "APPENDIX_FILE", "PRIMARY_PDF").alias("artifact_kind"),
-        F.when(odd, "WORKING_PAPER").otherwise("PUBLISHED").alias("artifact_version"),
+        F.when(odd, "PREPRINT").otherwise("PUBLISHED").alias("artifact_version"),
         F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 8), " ").alias("title"),
         F.concat(F.lit("Author "), n % 50).alias("authors"),
         year.alias("year"),
         F.when(F.col("lang") == "en", "Journal A").when(F.col("lang") == "de", "Journal B").otherwise("Journal C").alias("journal"),
         F.when(n % 3 == 0, F.concat(F.lit("10.1287/test."), year, F.lit("."), n)).otherwise("").alias("doi"),
         F.lit("").alias("keywords"),
+        F.when(n % 4 == 0, "MANIFEST").otherwise("FILENAME_FALLBACK").alias("metadata_source"),
         F.when(n % 3 == 0, "DOI").otherwise("METADATA_KEY").alias("identity_status"),
         F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"),
-    ).withColumn("metadata_provenance", F.create_map(F.lit("title"), F.lit("document"), F.lit("authors"), F.when(odd, "embedded").otherwise("filename"), F.lit("year"), F.lit("embedded"), F.lit("journal"), F.lit("manifest"), F.lit("doi"), F.lit("document")))
+    ).withColumn("metadata_provenance", F.create_map(F.lit("title"), F.lit("SOURCE_FRONT_MATTER"), F.lit("authors"), F.when(odd, "PDF_DOCUMENT_METADATA").otherwise("FILENAME_FALLBACK"), F.lit("year"), F.lit("MARKDOWN_FRONTMATTER"), F.lit("journal"), F.lit("MANIFEST"), F.lit("doi"), F.lit("SOURCE_FRONT_MATTER")))
 
 
 #: The same view for DuckDB.
@@ -43,7 +44,7 @@ art AS (SELECT doc_id, text, lang, source, sha1('documents/' || doc_id) AS artif
   CASE WHEN source IN ('src18', 'src19') THEN 'PROCESS' ELSE 'PAPER' END AS root_role,
   CASE WHEN source IN ('src18', 'src19') THEN 'PROCESS_EVIDENCE' WHEN source = 'src17' THEN 'OTHER' WHEN doc_id % 2 = 1 THEN 'ONLINE_APPENDIX' ELSE 'MAIN_ARTICLE' END AS role,
   CASE WHEN source IN ('src18', 'src19') THEN 'PROCESS_FILE' WHEN source = 'src17' THEN 'REPLICATION_PACKAGE' WHEN doc_id % 2 = 1 THEN 'APPENDIX_FILE' ELSE 'PRIMARY_PDF' END AS artifact_kind,
-  CASE WHEN doc_id % 2 = 1 THEN 'WORKING_PAPER' ELSE 'PUBLISHED' END AS artifact_version,
+  CASE WHEN doc_id % 2 = 1 THEN 'PREPRINT' ELSE 'PUBLISHED' END AS artifact_version,
   array_to_string(list_slice(regexp_extract_all(text, '[\p{L}\p{N}]+'), 1, 8), ' ') AS title,
   'Author ' || doc_id % 50 AS authors, CAST(2000 + doc_id % 25 AS VARCHAR) AS year,
   CASE lang WHEN 'en' THEN 'Journal A' WHEN 'de' THEN 'Journal B' ELSE 'Journal C' END AS journal,
