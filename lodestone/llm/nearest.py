@@ -111,7 +111,19 @@ def raw(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def joined(t: pa.Table, name: str, kind) -> np.ndarray:
+def planes(a: np.ndarray) -> bytes:
+    """The first bytes of all numbers (of 64 bits), then the second ones, and so on; what they share packs away in a shuffle."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+
+
+def joined(t: pa.Table, name: str, kind=None) -> np.ndarray:
+    """The numbers of all rows of a column; without a kind, those of `planes`."""
+    if kind is None:
+        return np.concatenate([np.zeros(0, np.uint64), *map(unplanes, t.column(name).to_pylist())])
     return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
 
@@ -170,8 +182,9 @@ def send_entries(trees: int, ranges: dict[int, Ranges]):
                 strings, own = trees_of(int(dim), trees).strings(flat_vectors(b.column(1).take(pa.array(at)), dim)), keys[at]
                 for t in range(trees):
                     part = ranges[int(dim)].of(t, strings[:, t], own)
-                    for p in np.unique(part):
-                        rows.append((int(dim), t, int(p), raw(strings[part == p, t]), raw(own[part == p])))
+                    order = np.lexsort((strings[:, t], part))
+                    for here in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                        rows.append((int(dim), t, int(part[here[0]]), planes(strings[here, t]), planes(own[here])))
             yield from binaries(rows, ENTRIES).to_batches()
 
     return run
@@ -205,7 +218,7 @@ def meet(entries: pa.Table, asked: pa.Table) -> pa.Table:
     """Of one piece: the keys of the strings that each query asks for."""
     rows = []
     if entries.num_rows and asked.num_rows:
-        strings, keys = joined(entries, "strings", np.uint64), joined(entries, "keys", np.uint64)
+        strings, keys = joined(entries, "strings"), joined(entries, "keys")
         order = np.argsort(strings, kind="stable")
         strings, keys = strings[order], keys[order]
         for r in asked.to_pylist():
@@ -216,7 +229,7 @@ def meet(entries: pa.Table, asked: pa.Table) -> pa.Table:
             c, d = np.where(had == NOTHING, a, c), np.where(had == NOTHING, a, d)  # what was told before is not told again
             starts, n = np.stack([a, d], axis=1).ravel(), np.maximum(np.stack([c - a, b - d], axis=1).ravel(), 0)
             at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows.append((r["dim"], r["block"], r["keys"], raw(n.reshape(-1, 2).sum(axis=1)), raw(keys[at])))
+            rows.append((r["dim"], r["block"], r["keys"], raw(n.reshape(-1, 2).sum(axis=1)), planes(keys[at])))
     return binaries(rows, HITS)
 
 
@@ -230,7 +243,7 @@ def ask_shards(shards: int):
             vectors = np.frombuffer(s["vectors"], np.float64).reshape(len(queries), -1)
             got: dict[int, list[np.ndarray]] = {}
             for h in hits.to_pylist():
-                parts = np.split(np.frombuffer(h["keys"], np.uint64), np.cumsum(np.frombuffer(h["counts"], np.int64))[:-1])
+                parts = np.split(unplanes(h["keys"]), np.cumsum(np.frombuffer(h["counts"], np.int64))[:-1])
                 for q, p in zip(np.frombuffer(h["query"], np.int64).tolist(), parts, strict=True):
                     if len(p):
                         got.setdefault(q, []).append(p)
@@ -245,12 +258,12 @@ def ask_shards(shards: int):
             if not keys:
                 continue
             of, key = np.concatenate(owner), np.concatenate(keys)
-            shard = ((key & np.uint64(2**63 - 1)) % np.uint64(shards)).astype(np.int64)
+            shard = (key % np.uint64(shards)).astype(np.int64)
             for sh in np.unique(shard):
                 mine = shard == sh
                 here, n = np.unique(of[mine], return_counts=True)
                 by = np.argsort(of[mine], kind="stable")
-                rows.append((s["dim"], int(sh), s["block"], raw(queries[here]), raw(vectors[here]), raw(n.astype(np.int64)), raw(key[mine][by])))
+                rows.append((s["dim"], int(sh), s["block"], raw(queries[here]), raw(vectors[here]), raw(n.astype(np.int64)), planes(key[mine][by])))
         return binaries(rows, ASKS)
 
     return run
@@ -271,7 +284,7 @@ def answer(k: int):
                 queries, n = np.frombuffer(r["query"], np.int64), np.frombuffer(r["counts"], np.int64)
                 vectors = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
                 own = np.sqrt((vectors * vectors).sum(axis=1))
-                at = np.searchsorted(keys, np.frombuffer(r["keys"], np.uint64))
+                at = np.searchsorted(keys, unplanes(r["keys"]))
                 of = np.repeat(np.arange(len(queries)), n)
                 scores = np.empty(len(at))
                 for a in range(0, len(at), 16384):
@@ -343,7 +356,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     usable = lambda df: df.filter(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"))
     rows, asked = usable(vectors).select(F.xxhash64("id", "v").alias("key"), "*"), usable(queries).dropDuplicates(["id", "v"]).select(F.xxhash64("id", "v").alias("key"), "*")
     same = W.partitionBy("v").orderBy("id")  # cut down before the shuffle to the first places of each task
-    rows = settle(rows.withColumn("_n", F.dense_rank().over(same)).filter(F.col("_n") <= k + 1).drop("_n").dropDuplicates(["key"]))
+    rows = settle(rows.withColumn("_n", F.dense_rank().over(same)).filter(F.col("_n") <= k + 1).drop("_n").dropDuplicates(["key"]).withColumn("key", F.monotonically_increasing_id()))
     ranges = {}
     for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect():  # a row for each length of vectors
         sample = np.zeros((0, trees), np.uint64)
@@ -351,9 +364,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             few = rows.filter(F.col("dim") == r["dim"]).orderBy("key").limit(SAMPLE).select("v").toArrow()  # at most `SAMPLE` rows
             sample = trees_of(r["dim"], trees).strings(flat_vectors(few.column("v"), r["dim"]))
         ranges[r["dim"]] = Ranges(sample, r["n"], piece_rows)
+    # The rows' keys are their numbers in the written table.
     shards, blocks = pieces(rows.count(), SHARD_ROWS, 16), pieces(asked.count(), BLOCK_ROWS, 4)
     entries = rows.select("key", "v", "dim").mapInArrow(send_entries(trees, ranges), schema(ENTRIES))
-    held = rows.withColumn("shard", (F.col("key").bitwiseAND(F.lit(2**63 - 1)) % shards).cast("int"))
+    held = rows.withColumn("shard", (F.col("key") % shards).cast("int"))
     state = asked.withColumn("block", spread(blocks, F.col("key"))).groupBy("dim", "block").applyInArrow(packed, schema(STATE))
     for miss in (*MISSES, 0.0):
         sent = state.mapInArrow(send_queries(trees, ranges), schema(QUERIES))
