@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import ROLES
 
-MANIFEST = "path string, paper_id string, doi string, title string, authors string, year string, journal string, abstract string, keywords string, role string, artifact_kind string"
+MANIFEST = "path string, paper_id string, doi string, title string, authors string, year string, journal string, abstract string, keywords string, role string, artifact_kind string, identity_status string"
 PROFILE = "root string, code string, role string, version string, access string, artifact_kind string, basis string"
 BENCHMARK = "query_id string, queries array<string>, relevant_paper_ids array<string>, hard_negative_paper_ids array<string>, match string, case_type string"
 
 
-def _records(path: str, key: str) -> list[dict]:
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file, from wherever Spark reads."""
+    return spark.read.text(path, wholetext=True).first()[0].removeprefix("\ufeff")
+
+
+def _records(spark: SparkSession, path: str, key: str) -> list[dict]:
     """The objects of a JSON array, of an object that holds one, or of JSON lines."""
-    with open(path, encoding="utf-8-sig") as f:
-        text = f.read()
+    text = _text(spark, path)
     if os.path.splitext(path)[1].lower() in (".jsonl", ".ndjson"):
         return [json.loads(x) for x in text.splitlines() if x.strip()]
     found = json.loads(text)
@@ -33,30 +37,68 @@ def _frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
     """Each record names exactly one file, no file twice."""
-    rows = _records(path, "papers")
+    rows = _records(spark, path, "papers")
     paths = [r.get("path", "") for r in rows]
     if len(set(paths)) < len(paths) or "" in paths:
         raise ValueError("manifest records need distinct paths")
+    if wrong := {str(r["role"]).upper() for r in rows if r.get("role")} - set(ROLES):
+        raise ValueError(f"unknown roles in the manifest: {sorted(wrong)}")
     out = _frame(spark, rows, MANIFEST)
-    if files is not None and (lost := out.join(files, F.col("path").isin(F.col("source_path"), F.col("source_rel")), "left").groupBy("path").agg(F.count("source_path").alias("n")).filter("n <> 1").take(5)):
-        raise ValueError(f"manifest paths that do not name one file: {[r['path'] for r in lost]}")
+    if files is not None:
+        named = files.select("source_path", F.explode(F.array_distinct(F.array("source_path", "source_rel"))).alias("path"))
+        met = out.join(named, "path", "left").groupBy("path").agg(F.count("source_path").alias("n"), F.first("source_path").alias("file"))
+        if lost := met.filter("n <> 1").take(5):
+            raise ValueError(f"manifest paths that do not name one file: {[r['path'] for r in lost]}")
+        if twice := met.groupBy("file").count().filter("count > 1").take(5):
+            raise ValueError(f"files that two manifest records name: {[r['file'] for r in twice]}")
     return out
 
 
-def profile(spark: SparkSession, path: str) -> DataFrame:
-    """The confirmed rules of a corpus profile."""
-    with open(path, encoding="utf-8-sig") as f:
-        spec = json.load(f)
+def _corpora(spark: SparkSession, path: str) -> list[dict]:
+    spec = json.loads(_text(spark, path))
     if spec.get("profile_version") != 1:
         raise ValueError("unknown profile version")
-    rows = [{"root": root, "code": code} | rule for root, rules in spec["roots"].items() for code, rule in rules.items() if rule.get("basis") == "USER_CONFIRMED"]
-    if wrong := {r.get("role") for r in rows} - set(ROLES):
-        raise ValueError(f"unknown roles in the profile: {wrong}")
+    return spec.get("corpora", [])
+
+
+def profile(spark: SparkSession, path: str, roots: list[str]) -> DataFrame:
+    """The rules of a corpus profile for these roots, by artifact code. A rule that no user has confirmed is an error, not a rule."""
+    rows = []
+    for corpus in _corpora(spark, path):
+        for code, rule in corpus.get("artifact_codes", {}).items() if corpus.get("root") in roots else ():
+            if rule.get("role") not in ROLES:
+                raise ValueError(f"unknown role in the profile: {rule.get('role')}")
+            if rule.get("basis") != "USER_CONFIRMED":
+                raise ValueError(f"the rule for {code} is not confirmed")
+            rows.append({"root": corpus["root"], "code": code.upper()} | rule)
     return _frame(spark, rows, PROFILE)
 
 
+def known_layout(spark: SparkSession, path: str | None) -> list[tuple[str, str, str]]:
+    """(root, kind, value) of what a profile has seen or ruled: codes with rules, codes known to have none, and the observed structure."""
+    out = []
+    for corpus in _corpora(spark, path) if path else ():
+        seen = corpus.get("observed_structure", {})
+        out += [(corpus["root"], "code", c.upper()) for c in [*corpus.get("artifact_codes", {}), *corpus.get("known_unmapped_codes", [])]]
+        out += [(corpus["root"], kind, v) for kind, name in (("extension", "extensions"), ("directory", "top_directories"), ("prefix", "unmatched_prefixes")) for v in seen.get(name, [])]
+    return out
+
+
+def discover_profile(roots: list[str]) -> str | None:
+    """A profile at its usual place: in the folder `.lodestone` beside a single local root, or in the common parent of several or above it; never within a root."""
+    real = [os.path.realpath(r) for r in roots]
+    if not real:
+        return None
+    common = os.path.commonpath(real)
+    for place in (common, os.path.dirname(common)):
+        found = os.path.join(place, ".lodestone", "corpus_profile.json")
+        if os.path.isfile(found) and not any(os.path.commonpath([found, r]) == r for r in real):
+            return found
+    return None
+
+
 def benchmark(spark: SparkSession, path: str) -> DataFrame:
-    rows = [r | {"queries": r.get("queries") or [r["query"]]} if r.get("queries") or r.get("query") else r for r in _records(path, "rows")]
+    rows = [r | {"queries": r.get("queries") or [r["query"]]} if r.get("queries") or r.get("query") else r for r in _records(spark, path, "rows")]
     for r in rows:
         if not (r.get("query_id") and r.get("queries") and r.get("relevant_paper_ids")):
             raise ValueError("a benchmark row needs query_id, query or queries, relevant_paper_ids")
