@@ -70,11 +70,6 @@ def scan_union_roots(spark, sf_dir):
     return one.unionByName(table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), "page_id").alias("path"), F.lit("PROCESS").alias("root_role"))).orderBy("path")
 
 
-@query("""SELECT 'extension' AS kind, '.txt' AS value, count(*) AS n FROM art UNION ALL SELECT 'directory', 'documents', count(*) FROM art UNION ALL SELECT 'code', '', count(*) FROM art""")
-def layout_histogram(spark, sf_dir):
-    return layout(artifacts(spark, sf_dir).withColumn("extension", F.lit(".txt")))
-
-
 @query("SELECT role, artifact_kind, count(*) AS n FROM art GROUP BY ALL")
 def role_classification(spark, sf_dir):
     return artifacts(spark, sf_dir).groupBy("role", "artifact_kind").agg(F.count("*").alias("n"))
@@ -126,6 +121,17 @@ def filename_parse(spark, sf_dir):
     return rows.filter("n IS NOT NULL").select("doc_id", "n.*")
 
 
+EXTENSION = "CASE doc_id % 3 WHEN 0 THEN '.TXT' WHEN 1 THEN '.md' ELSE '.pdf' END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, source, {NAME.replace('STRING', 'VARCHAR')} AS stem FROM art), k AS (SELECT 'extension' AS kind, lower({EXTENSION}) AS value FROM s UNION ALL SELECT 'directory', source FROM s
+UNION ALL SELECT 'code', CASE WHEN doc_id % 3 = 0 THEN 'FP' ELSE 'OA' END FROM s WHERE doc_id % 4 <> 3 UNION ALL SELECT 'prefix', string_split(stem, '_')[1] FROM s WHERE doc_id % 4 = 3) SELECT kind, value, count(*) AS n FROM k GROUP BY ALL""")
+def layout_histogram(spark, sf_dir):
+    """Files of three formats under their sources, named in the structured manner but for every fourth."""
+    rows = artifacts(spark, sf_dir).select(F.expr(f"source || '/' || {NAME} || {EXTENSION}").alias("source_rel"), F.expr(EXTENSION).alias("extension"))
+    return layout(rows)
+
+
 PROCESS_REL = "CASE doc_id % 4 WHEN 0 THEN 'ManagementScience/' WHEN 1 THEN 'MarketingScience/' WHEN 2 THEN 'other/sub/' ELSE '' END"
 PROCESS_STEM = "CASE doc_id % 3 WHEN 0 THEN 'MS-MNSC-' || doc_id || '-2_20190304_x' WHEN 1 THEN 'MKSC-' || doc_id || '__letter' ELSE title || '__note_20210101_' END"
 

@@ -8,6 +8,7 @@ import zipfile
 
 import pytest
 
+from lodestone.__main__ import main
 from lodestone.corpus import Corpus, Ledger, evaluate
 from lodestone.sources import side_inputs
 
@@ -25,7 +26,7 @@ def paper(path, doi: str, body: str) -> None:
     docx(path, f"doi: {doi} To cite this article: A. Author (2020) {path.stem}.", body * 3)
 
 
-def test_corpus_from_build_to_audit(spark, tmp_path):
+def test_corpus_from_build_to_audit(spark, tmp_path, capsys):
     def encoder(texts: list[str]) -> list[list[float]]:
         return [[float("fish" in t.lower()), float("bird" in t.lower()), 0.1] for t in texts]
 
@@ -92,6 +93,8 @@ def test_corpus_from_build_to_audit(spark, tmp_path):
     assert all(corpus.meta()[f"{k}_fingerprint"] != before[f"{k}_fingerprint"] for k in ("source", "coverage", "ranking"))
     assert sorted(r["paper_id"] for r in corpus.search(["fish OR on"], raw=True).collect()) == ["doi:10.1000/bird", "doi:10.1000/fish", "doi:10.1000/mill"]
     assert [r["status"] for r in book.audit().collect()] == ["SOURCE_STALE"]
+    assert main(["lookup", place, "--doi", "10.1000/mill"]) == 0 and json.loads(capsys.readouterr().out)["paper_id"] == "doi:10.1000/mill"
+    assert main(["search", str(tmp_path / "nowhere"), "x"]) == 2 and main(["inspect", place, "--locator", "none"]) == 0
     zipped = corpus.table("artifacts").filter("extension = '.zip'").first()
     assert (zipped["artifact_kind"], zipped["error"], len(zipped["content_hash"])) == ("ARCHIVE_ATTACHMENT", "", 64)
     # Bytes may change within size and time; only hashing tells.
