@@ -142,9 +142,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def ranked(rows: DataFrame, *order: Column, limit: int | None = None) -> DataFrame:
-    """The first `limit` rows with their rank from 1; the window runs over what the limit leaves."""
-    rows = rows.orderBy(*order).limit(limit) if limit is not None else rows
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    """The first `limit` rows with their rank from 1; the window runs over what the limit leaves.
+
+    Without a limit, rows are sorted over all partitions and numbered within them, after what stands in those before.
+    """
+    if limit is not None:
+        return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    placed = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    ahead, before = 0, []
+    for r in placed.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
+        before += [F.lit(r["_part"]), F.lit(ahead)]
+        ahead += r["count"]
+    start = F.element_at(F.create_map(*before), F.col("_part")) if before else F.lit(0)
+    return placed.withColumn("rank", (start + F.col("_at") + 1).cast("long")).drop("_part", "_at")
 
 
 def fuse(arms: DataFrame, limit: int | None = None, k: int = RRF_K) -> DataFrame:
