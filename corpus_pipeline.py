@@ -29,7 +29,7 @@ LEAST_SCORE = 0.3
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs.withColumn("_again", F.col("text")), net, "_again", tuple(COLUMNS)).filter(F.col("score") >= LEAST_SCORE).select(COLUMNS)
+    return quality.scored(docs, net, keep=tuple(COLUMNS)).filter(F.col("score") >= LEAST_SCORE).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
