@@ -36,7 +36,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: Two characters of white space side by side, or one that is the whole text.
 SPACES = "[\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LOOSE = rf"{SPACES}{{2}}|\A{SPACES}\z"
-AGREEMENTS, REMEMBERED, SLICE = 200_000, 150_000, 4 << 20
+AGREEMENTS, REMEMBERED, SLICE = 100_000, 100_000, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:

@@ -39,13 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def first_of_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of `docs` that stay, by their `classes` (id, t, component; t is the text's hash, as `text_hash` gives it).
+    """The rows of `docs` that stay, by their `classes` (id, t, root, component; t is the text's hash, as `text_hash` gives it).
 
-    Of each component one row stays: that of the smallest id, of those the smallest text hash, of those the smallest hash of
-    the whole row. Rows of one id with texts of different components are documents of their own. Rows with a null id stay:
+    Of each class one row stays: that of the smallest id, of those the smallest text hash, of those the smallest hash of
+    the whole row. Rows of one id with texts of different classes are documents of their own. Rows with a null id stay:
     nothing tells them from one another.
     """
-    keep = classes.filter("id = component").groupBy("component").agg(F.min("t").alias("_kept_t")).select(F.col("component").alias("_kept_id"), "_kept_t")
+    keep = classes.filter("id = component").groupBy("root", "component").agg(F.min("t").alias("_kept_t")).select(F.col("component").alias("_kept_id"), "_kept_t")
     own = docs.select(F.struct("*").alias("_doc"), F.col(id_col).cast("long").alias("_id"), text_hash(F.col(text_col)).alias("_t"))
     plain = [F.col(f"_doc.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     kept = own.join(keep, (F.col("_id") == F.col("_kept_id")) & (F.col("_t") == F.col("_kept_t")), "left_semi")

@@ -33,7 +33,7 @@ KEYS = ["_source", "_class", "_salt"]
 def sized(docs: DataFrame, carry: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc, id, source, size): the columns `carry` of `docs` (all, if None) as one struct, and the number of words of the text."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.struct(*(carry or docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    return docs.select(F.struct(*(f"`{c}`" for c in carry or docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
 
 
 def _md5_number(value: Column, digits: int) -> Column:

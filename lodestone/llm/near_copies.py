@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import first_of_classes, pieces, settle, spread, text_hash
 from .simhash_dedup import SEED, components, fingerprints_of, links, shingles
+from .token_counts import slices as parts
 
 #: LEAST is a fraction, so that similarities compare in whole numbers.
 SIZE, LEAST = 5, (4, 5)
@@ -81,11 +82,14 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            has = np.fromiter((bool((t or b"").split()) for t in texts), bool, len(texts))
-            offsets = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(texts).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints_of(texts).view(np.int64)), keys], names=["id", "t", "fp", "keys"])
+            at = 0
+            for part in parts(b.column(2), 2 << 20):
+                texts = part.to_pylist()
+                has = np.fromiter((bool((t or b"").split(None, 1)) for t in texts), bool, len(texts))
+                offsets = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(texts).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(fingerprints_of(texts).view(np.int64)), keys], names=["id", "t", "fp", "keys"])
+                at += len(texts)
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text).alias("t"), text.cast("binary").alias("x")).mapInArrow(run, "id long, t long, fp long, keys array<long>")
@@ -140,8 +144,8 @@ def near_links(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     def as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = []
-            for part in slices(b.column(1).to_pylist()):
-                hashes, counts = shingle_hashes(part)
+            for part in parts(b.column(1), 1 << 19):
+                hashes, counts = shingle_hashes(part.to_pylist())
                 sets += [np.unique(s).tobytes() for s in np.split(hashes, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["t", "s"])
 
@@ -162,7 +166,7 @@ def near_links(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, component): every row with its text's hash and the smallest id that links reach from it."""
+    """(id, t, root, component): as `simhash_classes`, without fingerprints."""
     rows = settle(described(docs, id_col, text_col))
     prints = settle(rows.groupBy("fp").agg(F.min("t").alias("first")))
     same = rows.select("fp", "t").distinct().join(prints, "fp").filter("t <> first").select(F.col("first").alias("a"), F.col("t").alias("b"))
@@ -171,8 +175,8 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = components(same.union(close).union(near_links(docs, rows, text_col)))
     texts = rows.groupBy("t").agg(F.min("id").alias("least"))
     rooted = texts.join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "least", F.coalesce("root", "t").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("t", "component")
-    return rows.select("id", "t").join(named, "t").select("id", "t", "component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("t", "root", "component")
+    return rows.select("id", "t").join(named, "t").select("id", "t", "root", "component")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .token_counts import slices
+
 SAMPLE = 6000
 SLOTS, DIM, NONZERO, WINDOW, SEED = 1 << 14, 64, 4, 2, 7
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 48, 60, 3e-3, 1e-4, 64
-PART, RANGE = 1 << 20, 64
+PART, RANGE, SLICE = 1 << 18, 64, 4 << 20
 
 
 def index_vectors() -> np.ndarray:
@@ -126,7 +128,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((SLOTS, DIM), np.int64)
         for b in batches:
-            gather(b.column(0).to_pylist(), table)
+            for part in slices(b.column(0), SLICE):
+                gather(part.to_pylist(), table)
         ranges = [r for r in range(SLOTS // RANGE) if table[r * RANGE : (r + 1) * RANGE].any()]
         sums = [table[r * RANGE : (r + 1) * RANGE] for r in ranges]
         small = [bool(np.abs(s).max() < 2**31) for s in sums]
@@ -247,14 +250,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(`keep`, score) of every row."""
+    """(`keep`, score) of every row. A text that is kept travels once."""
     held = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
+    kept = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = held.value.score(pooled(b.column(b.num_columns - 1).to_pylist(), held.value.vectors)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], names=[*b.schema.names[:-1], "score"])
+            texts = b.column(keep.index(text_col) if kept else b.num_columns - 1).cast(pa.binary())
+            scores = [np.zeros(0), *(held.value.score(pooled(part.to_pylist(), held.value.vectors)) for part in slices(texts, SLICE))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(scores))], names=[*b.schema.names[: len(keep)], "score"])
 
-    own = docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    own = docs.select(*keep, *([] if kept else [F.col(text_col).cast("string").alias("_t")]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
     return own.mapInArrow(run, f"{schema}, score double")

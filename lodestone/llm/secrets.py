@@ -140,7 +140,7 @@ def judged(runs: Column) -> Column:
 
 def with_candidates(docs: DataFrame, carry: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
     """The columns `carry` of `docs` (all, if None) as the struct doc, _base (array<struct<at, kind, end>>) and _tested (array<struct<at, end, stratum, p>>)."""
-    docs = docs.select(F.struct(*(carry or docs.columns)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    docs = docs.select(F.struct(*(f"`{c}`" for c in carry or docs.columns)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     text = F.col("_text")
     docs = docs.withColumns({f"_{k}": found(text, v[0]) for k, v in PATTERNS.items()}).withColumn("_runs", found(text, CANDIDATE))
     base = F.array_sort(F.concat(*(_kept(F.col(f"_{k}"), k) for k in PATTERNS)))

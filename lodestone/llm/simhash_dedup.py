@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import first_of_classes, settle, text_hash
+from .token_counts import slices
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -80,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints_of(b.column(2).to_pylist(), size).view(np.int64)
+            fp = np.concatenate([np.zeros(0, np.uint64), *(fingerprints_of(part.to_pylist(), size) for part in slices(b.column(2), 2 << 20))]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["id", "t", "fp"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("t"), F.col(text_col).cast("string").cast("binary").alias("x"))
@@ -119,13 +120,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
-    """(id, t, fp, component): every row with its text's hash, its fingerprint and the smallest id that links reach from it."""
+    """(id, t, fp, root, component): every row with its text's hash, its fingerprint, what tells its class from all others (ids may
+    repeat) and the smallest id that links reach from it."""
     fps = settle(fingerprints(docs, id_col, text_col, size))
     classes = settle(fps.groupBy("fp").agg(F.min("id").alias("rep")))
     roots = components(links(classes.select("fp"), radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
-    return fps.join(named, "fp").select("id", "t", "fp", "component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "root", "component")
+    return fps.join(named, "fp").select("id", "t", "fp", "root", "component")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
