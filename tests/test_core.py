@@ -170,3 +170,10 @@ def test_fingerprints_follow_what_they_stand_for(spark):
     tied = prints({}, {"artifact_id": "z", "title": "U", "content_hash": "i"})
     assert tied["metadata_conflict"] == "title=T | U" and tied["bibliography_fingerprint"] != one["bibliography_fingerprint"]
     assert prints({}, {"artifact_id": "z", "title": "U", "metadata_provenance": {"title": "MARKDOWN_FRONTMATTER"}})["title"] == "T"
+
+
+def test_ranks_without_a_limit_run_over_all_partitions(spark):
+    rows = spark.range(1000).repartition(7).withColumn("s", F.col("id") % 97)
+    got = retrieval.ranked(rows, F.desc("s"), F.col("id")).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(range(1000), key=lambda i: (-(i % 97), i)) and {r["rank"] for r in got} == set(range(1, 1001))
+    assert retrieval.ranked(rows.limit(0), F.col("id")).collect() == []
