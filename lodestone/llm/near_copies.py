@@ -8,7 +8,8 @@ fingerprints (`simhash_dedup`, 3-word shingles) differ in at most three bits. Fi
 
 A bucket yields no pairs but a spanning forest of its verified links: from one text all texts not yet reached are
 compared exactly, those linked are reached, and so on from each of them. That gives the components of comparing all
-pairs, with one link a text. Equal texts are one node from the start; buckets of the same members are met once.
+pairs, with one link a text. Equal texts are one node from the start; buckets of the same members are met once. A text
+travels to each of its buckets as the set of its shingles, of whose hashes 40 bits are sent.
 
 Defined cases: those of `simhash_dedup`; a text of fewer words than a shingle is one shingle; a text without words has
 no shingles and is linked by its fingerprint only.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import first_of_classes, pieces, settle, spread, text_hash
 from .simhash_dedup import SEED, components, fingerprints_of, links, shingles
+from .substring_dedup import packed, unpacked
 from .token_counts import slices as parts
 
 #: LEAST is a fraction, so that similarities compare in whole numbers.
@@ -146,12 +148,12 @@ def near_links(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
             sets = []
             for part in parts(b.column(1), 1 << 19):
                 hashes, counts = shingle_hashes(part.to_pylist())
-                sets += [np.unique(s).tobytes() for s in np.split(hashes, np.cumsum(counts)[:-1])]
+                sets += [packed(np.unique(s >> np.uint64(24))) for s in np.split(hashes, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["t", "s"])
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("key")
-        key, ids, sets = t.column("key").to_numpy(), t.column("t").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")]
+        key, ids, sets = t.column("key").to_numpy(), t.column("t").to_numpy(), list(map(unpacked, t.column("s").to_pylist()))
         cuts, found = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)), []
         for a, b in zip(cuts, cuts[1:], strict=False):
             found += [(a + i, a + j) for i, j in forest(sets[a:b])]
@@ -159,7 +161,8 @@ def near_links(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
         return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
     text = F.col(text_col).cast("string")
-    wanted = docs.select(text_hash(text).alias("t"), text.cast("binary").alias("x")).join(met.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
+    once = docs.select(text_hash(text).alias("t"), text.cast("binary").alias("x")).dropDuplicates(["t"])  # copies go before the shuffle
+    wanted = once.join(met.select("t").distinct(), "t", "left_semi")
     groups = pieces(met.count(), GROUP_ROWS)
     laden = met.join(wanted.mapInArrow(as_set, "t long, s binary"), "t").withColumn("g", spread(groups, F.col("key")))
     return laden.groupBy("g").applyInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
