@@ -5,8 +5,8 @@ that stands out most, with its sign, then the signs of further coordinates. Each
 A query first descends in every tree to the longest prefixes that it shares with anything there: the `BESIDE` strings on
 either side of its own place. That gives first neighbours, and from the worst of the best `k`, at angle t, follows how far
 to ascend: two vectors at angle t share the first ``b`` bits of a tree with a known probability ``p(t, b)``, so all trees
-ascend together to the longest prefix at which ``(1 - p)**trees`` is small enough, and every string that shares a prefix
-of that length in any tree is a candidate. They ascend twice, as what the first ascent finds makes the second a short one
+ascend together to the longest prefix at which ``(1 - p)**trees`` is small enough (some stay a bit below, as far as that
+suffices), and every string that shares a prefix of that length in any tree is a candidate. They ascend twice, as what the first ascent finds makes the second a short one
 (`MISSES`: the probability at which each stops). Queries in dense places so stop deep; those without near neighbours go
 up to the whole of their tree if need be. All candidates are scored on the original vectors, in double precision.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, settle, spread
 
-TREES, BITS, WIDTH, SEED, BESIDE, MISSES = 192, 64, 64, 2024, 2, (0.5, 0.12)
+TREES, BITS, WIDTH, SEED, BESIDE, MISSES = 224, 64, 64, 2024, 2, (0.5, 0.1)
 PIECE_ROWS, SHARD_ROWS, BLOCK_ROWS, SAMPLE = 1 << 20, 2048, 64, 1 << 14
 ANGLES = np.linspace(0, np.pi, 61)
 #: In place of a number of bits: what stands beside the own string; nothing yet.
@@ -79,15 +79,18 @@ class Trees:
             out.append(same.mean())
         return np.array(out)
 
-    def bits(self, cosines: np.ndarray, miss: float) -> np.ndarray:
-        """How many leading bits may be asked for so that a row this near is missed with probability `miss` at most."""
+    def ascent(self, cosines: np.ndarray, miss: float) -> tuple[np.ndarray, np.ndarray]:
+        """How far to go up so that a row this near is missed with probability `miss` at most: (bits, trees), where so many trees
+        are asked for so many leading bits and the others for one more."""
         angle = np.arccos(np.clip(cosines, -1, 1))
-        p = np.interp(angle, ANGLES, shared(self.width))
-        need = 1 - miss ** (1 / self.trees)
+        p, need, none = np.interp(angle, ANGLES, shared(self.width)), 1 - miss ** (1 / self.trees), np.log(max(miss, 1e-300))
         with np.errstate(divide="ignore", invalid="ignore"):
             more = np.floor(np.log(need / p) / np.log1p(-angle / np.pi))
-        more = np.where(angle < 1e-6, BITS, more)
-        return np.where(p < need, 0, np.minimum(self.head + np.nan_to_num(more, nan=0, posinf=BITS), BITS)).astype(np.uint8)
+            more = np.nan_to_num(np.where(angle < 1e-6, BITS, more), nan=0, posinf=BITS)
+            low, high = (np.log1p(-np.minimum(p * (1 - angle / np.pi) ** (more + k), 1 - 1e-12)) for k in (0, 1))
+            some = np.clip(np.ceil((none - self.trees * high) / (low - high)), 1, self.trees)
+        bits = np.where(p < need, 0, np.minimum(self.head + more, BITS))
+        return bits.astype(np.uint16), np.where((bits == 0) | (bits == BITS), self.trees, np.nan_to_num(some, nan=self.trees)).astype(np.uint16)
 
 
 @lru_cache(8)
@@ -199,16 +202,17 @@ def send_queries(trees: int, ranges: dict[int, Ranges]):
                 dim, keys = r["dim"], np.frombuffer(r["keys"], np.int64)
                 forest = trees_of(dim, trees)
                 strings = forest.strings(np.frombuffer(r["vectors"], np.float64).reshape(-1, dim))
-                bits, had = np.frombuffer(r["bits"], np.uint8).reshape(2, -1)
+                levels = np.frombuffer(r["bits"], np.uint16).reshape(4, -1)
                 rows = []
                 for t in range(trees):
+                    bits, had = levels[0] + (t >= levels[1]), levels[2] + (t >= levels[3])
                     ask = np.flatnonzero((bits > 0) | (t == 0))  # a whole tree is asked for once
                     low, high = span(strings[ask, t], bits[ask])
                     first, last = ranges[dim].met(t, low, high)
                     for p in range(int(first.min()), int(last.max()) + 1) if len(ask) else ():
                         here = ask[(first <= p) & (p <= last)]
                         if len(here):
-                            rows.append((dim, t, p, r["block"], raw(keys[here]), raw(strings[here, t]), raw(bits[here]), raw(had[here])))
+                            rows.append((dim, t, p, r["block"], raw(keys[here]), raw(strings[here, t]), raw(bits[here].astype(np.uint8)), raw(had[here].astype(np.uint8))))
                 yield from binaries(rows, QUERIES).to_batches()
 
     return run
@@ -225,8 +229,10 @@ def meet(entries: pa.Table, asked: pa.Table) -> pa.Table:
             own, bits, had = np.frombuffer(r["strings"], np.uint64), np.frombuffer(r["bits"], np.uint8), np.frombuffer(r["had"], np.uint8)
             places = lambda b: (np.searchsorted(strings, span(own, b)[0], side="left"), np.searchsorted(strings, span(own, b)[1], side="right"))
             (a, b), (c, d), beside, place = places(bits), places(had), bits == DESCEND, np.searchsorted(strings, own)
-            a, b = np.where(beside, np.maximum(place - BESIDE, 0), a), np.where(beside, np.minimum(place + BESIDE, len(strings)), b)
-            c, d = np.where(had == NOTHING, a, c), np.where(had == NOTHING, a, d)  # what was told before is not told again
+            left, right = np.maximum(place - BESIDE, 0), np.minimum(place + BESIDE, len(strings))
+            a, b = np.where(beside, left, a), np.where(beside, right, b)
+            # What was told before is not told again: first what stands beside, then what the shorter ascent met.
+            c, d = np.where(had == NOTHING, np.where(beside, a, np.maximum(a, left)), c), np.where(had == NOTHING, np.where(beside, a, np.minimum(b, right)), d)
             starts, n = np.stack([a, d], axis=1).ravel(), np.maximum(np.stack([c - a, b - d], axis=1).ravel(), 0)
             at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
             rows.append((r["dim"], r["block"], r["keys"], raw(n.reshape(-1, 2).sum(axis=1)), planes(keys[at])))
@@ -319,19 +325,25 @@ def merge(k: int, trees: int, miss: float):
             for q, n in joined(answers, "scored", np.int64).reshape(-1, 2).tolist():
                 seen[q] += n
             worst = dict(zip(found["q"][place == k - 1].tolist(), found["score"][place == k - 1].tolist(), strict=True))
-            before = np.frombuffer(s["bits"], np.uint8).reshape(2, -1)[0]
+            before, many = np.frombuffer(s["bits"], np.uint16).reshape(4, -1)[:2]
             had = np.where(before == DESCEND, NOTHING, before)
-            bits = np.minimum(trees_of(s["dim"], trees).bits(np.array([worst.get(q, -2.0) for q in keys.tolist()]), miss), had)
-            rows.append((s["dim"], s["block"], s["keys"], s["ids"], s["vectors"], raw(np.stack([bits, had]).astype(np.uint8)), raw(found[place < k]), raw(np.array([seen[q] for q in keys.tolist()], np.int64))))
+            bits, some = trees_of(s["dim"], trees).ascent(np.array([worst.get(q, -2.0) for q in keys.tolist()]), miss)
+            back = (bits > had) | ((bits == had) & (some < many))  # never down again
+            bits, some = np.where(back, had, bits), np.where(back, many, some)
+            rows.append((s["dim"], s["block"], s["keys"], s["ids"], s["vectors"], raw(np.stack([bits, some, had, many]).astype(np.uint16)), raw(found[place < k]), raw(np.array([seen[q] for q in keys.tolist()], np.int64))))
         return binaries(rows, STATE)
 
     return run
 
 
-def packed(t: pa.Table) -> pa.Table:
+def packed(trees: int):
+    return lambda t: _packed(t, trees)
+
+
+def _packed(t: pa.Table, trees: int) -> pa.Table:
     """One row for a block of queries."""
     dim = t.column("dim")[0].as_py()
-    bits = np.repeat(np.array([[DESCEND], [NOTHING]], np.uint8), t.num_rows, axis=1)
+    bits = np.repeat(np.array([[DESCEND], [trees], [NOTHING], [trees]], np.uint16), t.num_rows, axis=1)
     row = (dim, t.column("block")[0].as_py(), raw(t.column("key").to_numpy()), raw(t.column("id").to_numpy().astype(np.int64)), raw(flat_vectors(t.column("v"), dim)), raw(bits), None, None)
     return binaries([row], STATE)
 
@@ -368,7 +380,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     shards, blocks = pieces(rows.count(), SHARD_ROWS, 16), pieces(asked.count(), BLOCK_ROWS, 4)
     entries = rows.select("key", "v", "dim").mapInArrow(send_entries(trees, ranges), schema(ENTRIES))
     held = rows.withColumn("shard", (F.col("key") % shards).cast("int"))
-    state = asked.withColumn("block", spread(blocks, F.col("key"))).groupBy("dim", "block").applyInArrow(packed, schema(STATE))
+    state = asked.withColumn("block", spread(blocks, F.col("key"))).groupBy("dim", "block").applyInArrow(packed(trees), schema(STATE))
     for miss in (*MISSES, 0.0):
         sent = state.mapInArrow(send_queries(trees, ranges), schema(QUERIES))
         hits = entries.groupBy("dim", "tree", "part").cogroup(sent.groupBy("dim", "tree", "part")).applyInArrow(meet, schema(HITS))

@@ -207,9 +207,7 @@ def vectors_of(spark, n: int):
     rng = np.random.default_rng(n)
     x = rng.standard_normal((10, 64))[rng.integers(0, 10, n)] * 0.3 + rng.standard_normal((n, 64))
     x[n // 2 :] = x[: n - n // 2] + 0.7 * rng.standard_normal((n - n // 2, 64))
-    import pandas as pd
-
-    return x, spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<double>").repartition(8)
+    return x, spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))})).repartition(8)
 
 
 @pytest.mark.parametrize("n, share, pieces", [(8192, 0.5, 1 << 20), (50_000, 0.1, 1 << 20), (3000, 1.0, 100)])
