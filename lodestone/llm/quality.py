@@ -256,9 +256,11 @@ def scored(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(keep.index(text_col) if kept else b.num_columns - 1).cast(pa.binary())
-            scores = [np.zeros(0), *(held.value.score(pooled(part.to_pylist(), held.value.vectors)) for part in slices(texts, SLICE))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(scores))], names=[*b.schema.names[: len(keep)], "score"])
+            at = 0
+            for part in slices(b.column(keep.index(text_col) if kept else b.num_columns - 1).cast(pa.binary()), SLICE):
+                scores = held.value.score(pooled(part.to_pylist(), held.value.vectors))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in b.columns[: len(keep)]), pa.array(scores)], names=[*b.schema.names[: len(keep)], "score"])
+                at += len(part)
 
     own = docs.select(*keep, *([] if kept else [F.col(text_col).cast("string").alias("_t")]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)])
