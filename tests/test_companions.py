@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import difflib
 import random
+from collections import Counter
+from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from lodestone.operators import works
 from lodestone.plans.catalog import QUERIES
 from lodestone.sources.tables import artifacts
 
@@ -28,3 +33,44 @@ def test_appendix_files_meet_all_other_artifacts(spark, tmp_path):
     assert len(want) > 20 and sorted(got) == sorted(want)
     blocks = QUERIES["companion_blocking"](spark, str(tmp_path)).select("artifact_id", "paper_id").collect()
     assert {w[:2] for w in want} <= {tuple(r) for r in blocks}
+
+
+def test_files_of_equal_keys_are_judged_once_and_all_returned(spark, monkeypatch):
+    """Several shares of a directory, several tiles of a class, letters above eight; against a plain double loop. Only classes are joined on letters and scored."""
+    monkeypatch.setattr(works, "CLASS_PART", 7)
+    monkeypatch.setattr(works, "DIRECTORY_SHARE", 3)
+    scored = spark.sparkContext.accumulator(0)
+
+    def counted(*a):
+        scored.add(1)
+        return difflib.SequenceMatcher(*a)
+
+    monkeypatch.setattr(works, "difflib", SimpleNamespace(SequenceMatcher=counted))
+    rnd = random.Random(8)
+    base = "the eerie cheese tree seemed green 鱼类 ünd e" + "e" * 9
+    titles = ["", "e" * 30, "e" * 34, "e" * 40, *("".join(rnd.choice("ex ü鱼") if rnd.random() < 0.06 else c for c in base) for _ in range(30))]
+    dealt = [(titles[min(int(rnd.expovariate(0.15)), 33)], rnd.choice("AaB")) for _ in range(400)]
+    rows = [(str(i), d, t.title(), t) for i, (t, d) in enumerate(dealt)] + [("none", None, "e", "e"), ("null", "A", None, None)]
+    a = spark.createDataFrame(rows[::2], "artifact_id string, directory string, stem string, title string").repartition(5)
+    b = spark.createDataFrame(rows[1::2] + rows[-1:] + rows[1:2], "paper_id string, directory string, stem string, title string").repartition(3)
+    a_rows, b_rows = (works.companion_keys(x).dropna().collect() for x in (a, b))
+    letters = lambda x, y: not x + y or 2 * (Counter(x) & Counter(y)).total() >= 0.9 * len(x + y)
+    blocks, offers = [], []
+    for x in a_rows:
+        for y in b_rows:
+            s1, t1, s2, t2 = x["stem_key"], x["title_key"], y["stem_key"], y["title_key"]
+            if x["dir_key"] == y["dir_key"] and letters(t1, t2) and letters(s1, s2):
+                blocks.append((x["artifact_id"], y["paper_id"], t1, t2))
+                score = min(difflib.SequenceMatcher(None, s1, s2).ratio(), difflib.SequenceMatcher(None, t1, t2).ratio())
+                offers += [(x["artifact_id"], y["paper_id"], score)] if score >= 0.9 else []
+    assert len(offers) > 1000 and sorted(map(tuple, works.companion_blocks(a, b).collect())) == sorted(blocks)
+    assert sorted(map(tuple, works.companions(a, b).select("artifact_id", "paper_id", "score").collect())) == sorted(offers)
+    assert 0 < scored.value < len(blocks) / 3
+
+
+def test_titles_are_the_first_eight_words(spark, tmp_path):
+    texts = ["", " .,", "a", "-a b\nc", "a b c d e f g h i j", "1 2 3 4 5 6 7 eight-nine", "\n\n Über 鱼类, x_y źw " * 5, None, "x" * 30000, "." * 30000 + "a b", "a." * 30000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'src1' AS source", "0 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 8), " ")
+    rows = artifacts(spark, str(tmp_path)).select("doc_id", "title", whole.alias("whole")).collect()
+    assert len(rows) == len(texts) and all(r["title"] == r["whole"] for r in rows)
