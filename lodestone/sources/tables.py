@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: MB of a table's files for each task that cuts or scans its texts.
+TASK_MB = 4
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, rows: DataFrame) -> DataFrame:
+    """`rows` of a table, dealt by `key`: however large its files and row groups are, a task gets about TASK_MB of them."""
+    held = int(str(table(spark, sf_dir, name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(max(-(-held // (TASK_MB << 20)), spark.sparkContext.defaultParallelism), key)
+
+
 #: Up to the eighth word; the rest of a text is not read for its title.
 FIRST_WORDS = r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,8}+"
 
